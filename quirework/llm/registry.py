@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from quirework.llm import mixing
+from quirework.llm import chat, mixing
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
+    "op2_chat": chat.op2_chat,
 }
 
 ORACLE_SQL = {
