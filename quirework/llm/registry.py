@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from quirework.llm import chat, mixing
+from quirework.llm import chat, mixing, simhash
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_chat": chat.op2_chat,
+    "op3_simhash": simhash.op3_simhash,
 }
 
 ORACLE_SQL = {
