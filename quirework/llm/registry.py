@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from quirework.llm import chat, mixing, simhash
+from quirework.llm import chat, mixing, packing, simhash
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_chat": chat.op2_chat,
     "op3_simhash": simhash.op3_simhash,
+    "op10_packing": packing.op10_packing,
 }
 
 ORACLE_SQL = {
