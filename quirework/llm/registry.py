@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from quirework.llm import chat, mixing, packing, simhash
+from quirework.llm import chat, mixing, packing, simhash, vafile
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_chat": chat.op2_chat,
     "op3_simhash": simhash.op3_simhash,
+    "op8_topk": vafile.op8_topk,
     "op10_packing": packing.op10_packing,
 }
 
 ORACLE_SQL = {
     "op1_mixing": mixing.OP1_SQL,
+    "op8_topk": vafile.OP8_SQL,
 }
