@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from quirework.llm import chat, mixing, packing, secrets, simhash, vafile
+from quirework.llm import chat, mixing, packing, quality, secrets, simhash, vafile
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
     "op2_chat": chat.op2_chat,
     "op3_simhash": simhash.op3_simhash,
     "op4_secrets": secrets.op4_secrets,
+    "op6_quality": quality.op6_quality,
     "op8_topk": vafile.op8_topk,
     "op10_packing": packing.op10_packing,
 }
