@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quirework.llm import chat, mixing, packing, quality, secrets, simhash, vafile
+from quirework.llm import chat, langid, mixing, packing, quality, secrets, simhash, vafile
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_simhash": simhash.op3_simhash,
     "op4_secrets": secrets.op4_secrets,
     "op6_quality": quality.op6_quality,
+    "op7_langid": langid.op7_langid,
     "op8_topk": vafile.op8_topk,
     "op10_packing": packing.op10_packing,
 }
