@@ -5,6 +5,8 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,3 +54,26 @@ def sort_key(doc_id: Column) -> Column:
 def held_out(doc_id: Column) -> Column:
     """Rows whose crc32(doc_id as text) leaves 2 when divided by 4; nothing is learned from them. A null id counts as ''."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 4 == 2
+
+
+#: Parts that an id range is cut into at most; parts beyond that grow, and their sorts spill.
+MOST_PARTS = 20_000
+
+
+def id_parts(rows: DataFrame, name: str, rows_per_part: int) -> tuple[Column, int]:
+    """The part of each row, by ranges of the id in the named column with about as many rows each, and how many parts there are.
+
+    Null ids stand in the last part. Rows of one id are in one part.
+    """
+    parts = min(MOST_PARTS, max(1, -(-rows.count() // rows_per_part)))
+    splits: list[int] = []
+    if parts > 1:
+        splits = sorted(set(rows.select(F.percentile_approx(name, [i / parts for i in range(1, parts)], 10 * parts).alias("p")).first()["p"] or []))
+    if not splits:
+        return F.lit(0), 1
+
+    def place(ids: pd.Series) -> pd.Series:
+        at = np.searchsorted(np.array(splits, np.int64), ids.fillna(0).to_numpy(np.int64), "right")
+        return pd.Series(np.where(ids.isna(), len(splits), at), dtype="int32")
+
+    return F.pandas_udf(place, "int")(F.col(name)), len(splits) + 1
