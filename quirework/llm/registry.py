@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quirework.llm import chat, langid, mixing, packing, quality, secrets, simhash, vafile, warc
+from quirework.llm import chat, langid, merkle, mixing, packing, quality, secrets, simhash, vafile, warc
 
 QUERIES = {
     "op1_mixing": mixing.op1_mixing,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_quality": quality.op6_quality,
     "op7_langid": langid.op7_langid,
     "op8_topk": vafile.op8_topk,
+    "op9_merkle": merkle.op9_merkle,
     "op10_packing": packing.op10_packing,
 }
 
