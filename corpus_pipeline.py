@@ -6,8 +6,26 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quirework.llm import langid, secrets
 from quirework.llm.common import shared_dir
 from quirework.llm.mixing import mix_documents
+from quirework.llm.packing import pack
+from quirework.llm.simhash import keep_one
+
+
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language that the network knows, with that as lang."""
+    return langid.keep_identified(docs, langid.train(docs))
+
+
+def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates."""
+    return keep_one(docs)
+
+
+def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, their secrets replaced by a mark."""
+    return secrets.redact(docs, secrets.default_forest(spark))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -15,7 +33,18 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mix_documents(docs)
 
 
-STAGES = [("mix_sources", mix_sources)]
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row a piece of a document, with its place in a sequence."""
+    return pack(docs).drop("ids")
+
+
+STAGES = [
+    ("language_id", language_id),
+    ("simhash_dedup", simhash_dedup),
+    ("secret_scan", secret_scan),
+    ("mix_sources", mix_sources),
+    ("pack_sequences", pack_sequences),
+]
 
 #: Classifiers and tokenizers are not expressible in SQL.
 ORACLE_SQL = None
