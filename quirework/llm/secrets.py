@@ -16,15 +16,16 @@ from pyspark.sql import functions as F
 #: Names that announce a secret, and the shapes of candidates.
 NAMED = r"(?i:api[_-]?key|access[_-]?key|password|passwd|pwd|secret|token|credential)s?"
 RUN = r"A-Za-z0-9_+/.~-"
-ASSIGNED = rf"{NAMED}[\"']?\s{{0,3}}(?::=|=>|[:=])\s{{0,3}}[\"']?[^\s\"'<>]{{8,}}+"
+NAME = rf"{NAMED}[\"']?\s{{0,3}}(?::=|=>|[:=])\s{{0,3}}[\"']?"
+ASSIGNED = rf"{NAME}[^\s\"'<>]{{8,}}+"
 TOKEN = rf"(?<![{RUN}])(?=[A-Za-z_+/.~-]*+[0-9])[{RUN}]{{16,}}+={{0,2}}"
 PEM = r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]*+-----END [A-Z ]{0,40}PRIVATE KEY-----)?"
 #: A match is what lies before a candidate and the candidate; matches follow each other from the start of the text (\G keeps a
 #: search that fails from being begun again at every later place).
-MATCH = rf"(?s)\G.*?(?:{PEM}|{ASSIGNED}|{TOKEN})"
 CANDIDATE = rf"(?:{PEM}|{ASSIGNED}|{TOKEN})"
-#: The candidate at a match's end.
-ENDS = rf"(?s)(-----BEGIN [A-Z ]{{0,40}}PRIVATE KEY-----.*|[^\s\"'<>]+)$"
+MATCH = rf"(?s)\G.*?({CANDIDATE})"
+#: What of a candidate is the secret: all but the name that it is assigned to.
+VALUE = rf"(?s)^(?:{NAME})?(.*)$"
 #: Code points before a candidate whose words count.
 NEAR = 40
 
@@ -55,7 +56,7 @@ FEATURES = ("length", "runs", "digits", "uppers", "symbols", "variety", "hex", "
 def _candidates(text: str = "text") -> str:
     """SQL: the candidates of a text, with where each starts, its own text and what stands just before."""
     matches = f"case when {text} rlike {_quoted(CANDIDATE)} then regexp_extract_all({text}, {_quoted(MATCH)}, 0) else array() end"
-    cut = f"transform({matches}, m -> named_struct('m', m, 'value', regexp_extract(m, {_quoted(ENDS)}, 1), 'n', cast(char_length(m) as bigint)))"
+    cut = f"transform({matches}, m -> named_struct('m', m, 'value', regexp_extract(regexp_extract(m, {_quoted(MATCH)}, 1), {_quoted(VALUE)}, 1), 'n', cast(char_length(m) as bigint)))"
     ends = "aggregate(c, array(0L), (a, x) -> concat(a, array(element_at(a, -1) + x.n)))"
     found = f"""transform(c, (x, i) -> named_struct(
         'start', e[i + 1] - char_length(x.value), 'length', cast(char_length(x.value) as bigint), 'value', x.value,
