@@ -1,54 +1,18 @@
-"""What the operators of this package share: written intermediates and null-safe joins."""
+"""What the operators of this package share."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A word: a run of anything but the six ASCII blanks.
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or (where that is unset, as in tests) one of our own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = f"file://{tempfile.mkdtemp(prefix='quirework-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """Write df once to the shared folder and return it reread: lineage ends there, and a lost executor loses nothing."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from quirework.storage import discard, shared_dir, written
 
+__all__ = ["WORD", "discard", "held_out", "id_parts", "shared_dir", "written"]
 
-def discard(df: DataFrame) -> None:
-    """Delete the files of a table that written() made and no later plan reads."""
-    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
-
-
-def same(a: DataFrame, b: DataFrame, *names: str) -> Column:
-    """The null-safe equality of the named columns."""
-    out = F.lit(True)
-    for n in names:
-        out = out & a[n].eqNullSafe(b[n])
-    return out
-
-
-def sort_key(doc_id: Column) -> Column:
-    """A hash-random, seedable and engine-independent key is md5 hex; null ids hash as the empty string."""
-    return F.md5(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary"))
+#: A word: a run of anything but the six ASCII blanks.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def held_out(doc_id: Column) -> Column:

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quirework.llm.common import WORD, same, written
+from quirework.llm.common import WORD, written
 
 #: Rows of one source that one window sorts, about: key ranges are cut finer as the input grows.
 ROWS_PER_RANGE = 20_000

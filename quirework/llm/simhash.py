@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quirework.llm.common import written
-from quirework.llm.components import components
+from quirework.operators.graph import components
 
 BITS = 64
 #: The bands of a fingerprint: at 3 differing bits two fingerprints agree on one of four.
@@ -260,15 +260,20 @@ def keep_one(docs: DataFrame, most: int = 3) -> DataFrame:
     """docs without near duplicates: of each class the document with the smallest doc_id stays.
 
     Where other rows repeat that id, and where a class has null ids alone, the first of its rows by text stays. Texts
-    go through no shuffle but for such rows.
+    go through one shuffle, by doc_id and unsorted, whatever their number: the ids that stay can't be broadcast.
     """
     seen, classes = _classes(docs, most)
     named = written(seen.join(classes, seen["fp"] == classes["node_fp"]).select("doc_id", "component_id"), "simhash-found")
     ids = named.groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("rows"), F.max(F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("least"))
     ids = written(ids.filter("least"), "simhash-kept")
-    kept = docs.join(ids.filter("rows = 1 and kept_id is not null"), docs["doc_id"] == F.col("kept_id"), "left_semi")
-    again = docs.join(ids.filter("rows > 1 or kept_id is null"), docs["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi")
-    again = again.select(F.struct(*[again[c] for c in docs.columns]).alias("row"), F.pandas_udf(_fingerprint_of, "long")("text").alias("fp"))
+    once = ids.filter("rows = 1 and kept_id is not null").select("kept_id").hint("shuffle_hash")
+    kept = docs.join(once, docs["doc_id"] == F.col("kept_id"), "left_semi")
+    repeated = ids.filter("rows > 1 or kept_id is null").select("kept_id")
+    if repeated.isEmpty():
+        return kept
+    again = docs.join(repeated, docs["doc_id"].eqNullSafe(F.col("kept_id")), "left_semi")
+    again = written(again.select(F.struct(*[again[c] for c in docs.columns]).alias("row"), again["text"].alias("text")), "simhash-again")
+    again = again.select("row", F.pandas_udf(_fingerprint_of, "long")("text").alias("fp"))
     again = again.join(classes, F.col("fp") == F.col("node_fp")).filter(F.col("row.doc_id").eqNullSafe(F.col("component_id")))
     first = again.groupBy("root").agg(F.min_by("row", F.struct(F.col("row.text").isNull(), "row.text")).alias("row"))
     return kept.unionByName(first.select("row.*"))
