@@ -230,7 +230,7 @@ def garbage(artifacts: DataFrame, references: DataFrame) -> DataFrame:
 
 
 @query(
-    """SELECT import_id, CASE WHEN import_id % 5 = 1 THEN 'SCHEMA_VERSION_UNSUPPORTED' WHEN import_id % 5 = 2 OR n > 128 THEN 'SCHEMA_INVALID' END AS error_code FROM (SELECT import_id, count(*) AS n FROM import_items GROUP BY import_id)""",
+    """SELECT import_id, CASE WHEN import_id % 5 = 1 THEN 'SCHEMA_VERSION_UNSUPPORTED' WHEN import_id % 5 = 2 OR n > 128 OR n > ids THEN 'SCHEMA_INVALID' END AS error_code FROM (SELECT import_id, count(*) AS n, count(DISTINCT item_id) AS ids FROM import_items GROUP BY import_id)""",
     "import_items",
 )
 def manifest_valid(items: DataFrame) -> DataFrame:
