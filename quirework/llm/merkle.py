@@ -17,6 +17,9 @@ from quirework.llm.common import id_parts
 #: Leaves are paragraphs. A paragraph is cut where a blank follows bytes whose hash is a multiple of this: every few words,
 #: wherever in the text they stand. The first bytes of a text are cut finer, so that a short text has leaves too.
 CUT, FINE, FINE_BYTES = 8, 2, 512
+#: Code points of the largest paragraph, and of the largest that starts in the first bytes. Longer stretches, such as texts
+#: without blanks or of one repeated phrase, are cut where the hash of so many code points before is least.
+MOST, FINE_MOST, WINDOW = 128, 32, 8
 #: A leaf whose hash is a multiple of this ends a section; a section has so many leaves at most.
 SECTION, SECTION_MOST = 16, 64
 #: Bytes of the hash of the root, of a section and of a leaf.
@@ -29,8 +32,32 @@ _BLANKS[[9, 10, 11, 12, 13, 32]] = True
 _MIX = np.uint32(2_654_435_761)
 
 
+def _split(stretch: bytes, at: int) -> list[int]:
+    """Where the paragraphs of a stretch at a byte of its text end, if it has more code points than one may have.
+
+    Each ends in the last three quarters of what it may have, at the least hash and of equal ones at the last: an edit
+    moves few ends after it, and a repeated phrase is always cut at the same place of it.
+    """
+    points = np.frombuffer(stretch.decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), "<u4")
+    most = FINE_MOST if at < FINE_BYTES else MOST
+    if len(points) <= most:
+        return [at + len(stretch)]
+    bytes_to = at + np.cumsum(1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000))
+    hashes = points * np.uint32(1)
+    for back in range(1, WINDOW):
+        hashes[back:] += points[:-back] * np.uint32(pow(257, back, 1 << 32))
+    hashes = (hashes ^ (hashes >> np.uint32(15))) * _MIX
+    ends, start = [], 0
+    while len(points) - start > most:
+        after = hashes[start + most // 4 - 1 : start + most]
+        start += most - int(after[::-1].argmin())
+        ends.append(int(bytes_to[start - 1]))
+        most = FINE_MOST if ends[-1] < FINE_BYTES else MOST
+    return [*ends, at + len(stretch)]
+
+
 def _ends(text: bytes) -> list[int]:
-    """Where the paragraphs of a text end: after a newline, and after blanks that the bytes before choose."""
+    """Where the paragraphs of a text end: after a newline, after blanks that the bytes before choose, and as _split has it."""
     b = np.frombuffer(text, np.uint8)
     blank = np.flatnonzero(_BLANKS[b])
     before = np.zeros(len(blank), np.uint32)
@@ -38,7 +65,17 @@ def _ends(text: bytes) -> list[int]:
         before = before * np.uint32(257) + np.where(blank >= back, b[np.maximum(blank - back, 0)], 0).astype(np.uint32)
     chosen = ((before * _MIX) >> np.uint32(16)) % np.where(blank < FINE_BYTES, FINE, CUT).astype(np.uint32) == 0
     ends = blank[chosen | (b[blank] == 10)] + 1
-    return [*ends.tolist(), *([len(b)] if not len(ends) or ends[-1] != len(b) else [])] if len(b) else []
+    ends = np.array([*ends.tolist(), *([len(b)] if not len(ends) or ends[-1] != len(b) else [])] if len(b) else [], np.int64)
+    starts = np.concatenate(([0], ends))[:-1]
+    long = np.flatnonzero(ends - starts > np.where(starts < FINE_BYTES, FINE_MOST, MOST))
+    if not len(long):
+        return ends.tolist()
+    out, done = [], 0
+    for i in long.tolist():
+        out += ends[done:i].tolist()
+        out += _split(text[starts[i] : ends[i]], int(starts[i]))
+        done = i + 1
+    return out + ends[done:].tolist()
 
 
 def tree(text: bytes) -> list[list[tuple[bytes, int]]]:

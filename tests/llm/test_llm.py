@@ -347,6 +347,27 @@ def test_fingerprints_locate_edits():
     assert merkle.edits(merkle.fingerprint("a"), merkle.fingerprint("a")) == []
 
 
+def test_fingerprints_without_blanks_and_of_repeated_phrases():
+    rng = random.Random(9)
+    texts = ["spam " * 3000, "click here to subscribe " * 3000, "lorem ipsum dolor sit amet " * 3000, "a" * 30_000]
+    texts += ["".join(rng.choices(letters, k=n)) for letters in ("的一是不了人我在有他", "กขคงจฉชซ", 'ab0:,"{}', "01", "𝒜𝒷\ud800é") for n in (200, 30_000)]
+    for text in texts:
+        whole = text.encode("utf-8", "surrogatepass")
+        leaves, at = [n for own in merkle.tree(whole) for _, n in own], 0
+        for n in leaves:
+            assert 0 < len(whole[at : at + n].decode("utf-8", "surrogatepass")) <= (32 if at < 512 else 128)
+            at += n
+        assert at == len(whole)
+        now = merkle.edited(text, "other words " * 10_000)
+        fp = merkle.fingerprint(text)
+        assert 0.6 < merkle.likeness(fp, merkle.fingerprint(now)) < 0.85
+        assert sum(b - a for a, b in merkle.edits(fp, merkle.fingerprint(now))) < 0.45 * len(whole)
+        # An insertion in the middle leaves most of both sides.
+        at = len(text) // 2
+        if len(text) > 1000:
+            assert merkle.likeness(fp, merkle.fingerprint(text[:at] + "#!" + text[at:])) > 0.9
+
+
 def test_successors_of_odd_and_empty_tables(odd, empty, monkeypatch):
     monkeypatch.setattr(merkle, "ROWS_PER_TASK", 3)
     got = rows_of(merkle.compare_successors(odd))
