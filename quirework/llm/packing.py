@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import re
 import zlib
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -20,6 +21,8 @@ from quirework.llm.common import written
 ROWS_PER_BUCKET = 20_000
 #: Characters tokenized at once; longer texts are cut where no token can reach across.
 CHUNK = 1_000_000
+#: Steps without a filling that count as a node of the search.
+STEPS = 10_000
 
 #: Between two letters and a lone space the pre-tokenizer always cuts before the space.
 _CUT = re.compile(r"(?<=[a-z])(?= [a-z])")
@@ -114,47 +117,72 @@ def least_bins(counts: dict[int, int], room: int) -> int:
     return most
 
 
-def fillings(counts: dict[int, int], space: int, waste: int, most: int) -> list[tuple[int, ...]]:
-    """Undominated fillings of a space that leave at most so much waste, by waste, then by few and large lengths.
+def fillings(counts: dict[int, int], space: int, waste: int) -> Iterator[tuple[int, ...] | None]:
+    """All undominated fillings of a space that leave at most so much waste, by waste, then by many of large lengths.
 
-    A filling is left out where one of its lengths could give way to a larger one that is there and fits: the larger
-    one's filling dominates it.
+    A filling is left out where one of its lengths could give way to a larger one that is there and fits, or where one
+    more fits: the larger filling dominates it. A table of subset sums leads past sums that no lengths make. None is
+    given for every STEPS steps without a filling, so that a search can count them.
     """
-    lengths = sorted((k for k, n in counts.items() if n), reverse=True)
-    found: list[tuple[int, ...]] = []
-    tries = 0
-
-    def extend(at: int, left: int, chosen: tuple[int, ...]) -> None:
-        nonlocal tries
-        tries += 1
-        if tries > 20 * most or len(found) >= 4 * most:
+    lengths = sorted((k for k, n in counts.items() if n and k <= space), reverse=True)
+    every = _sums(lengths, counts, space)
+    for w in range(min(waste, space) + 1):
+        goal = space - w
+        # Of these there are always some left: fillings that leave room for one, or for one in a smaller length's place, are dominated.
+        plenty = sorted(k for k in lengths if counts[k] * k > goal)
+        if plenty and plenty[0] <= w:
             return
-        smallest = next((k for k in reversed(lengths) if counts[k] > chosen.count(k)), None)
-        if smallest is None or left < smallest:
-            if left <= waste:
-                found.append(chosen)
-            return
-        for i in range(at, len(lengths)):
-            k = lengths[i]
-            if k <= left and counts[k] > chosen.count(k) and len(chosen) < 8:
-                extend(i, left - k, (*chosen, k))
-
-    extend(0, space, ())
-
-    def dominated(f: tuple[int, ...]) -> bool:
-        left = space - sum(f)
-        return any(counts[x] > f.count(x) for k in set(f) for x in lengths if k < x <= k + left)
-
-    found = [f for f in dict.fromkeys(found) if not dominated(f)]
-    return sorted(found, key=lambda f: (space - sum(f), len(f), [-k for k in f]))[:most]
-
-
-def complete_bins(counts: dict[int, int], room: int, nodes: int = 2_000, breadth: int = 8) -> list[tuple[tuple[int, ...], int]]:
+        if not every[0] >> goal & 1:
+            continue
+        sums, inside = every, lengths
+        if w and plenty:
+            inside = [k for k in lengths if (i := bisect_right(plenty, k)) == len(plenty) or plenty[i] > k + w]
+            sums = _sums(inside, counts, space)
+            if not sums[0] >> goal & 1:
+                continue
+        # The next length's place, what is to be made, what is chosen.
+        steps, stack = 0, [(0, goal, ())]
+        while stack:
+            at, left, chosen = stack.pop()
+            steps += 1
+            if steps % STEPS == 0:
+                yield None
+            if not left:
+                if not w or not _dominated(lengths, counts, chosen, w):
+                    steps = 0
+                    yield chosen
+                continue
+            k = inside[at]
+            for n in range(min(counts[k], left // k) + 1):
+                if sums[at + 1] >> (left - n * k) & 1:
+                    stack.append((at + 1, left - n * k, (*chosen, *(k,) * n)))
+
+
+def _sums(lengths: list[int], counts: dict[int, int], space: int) -> list[int]:
+    """Bit s of entry i: the lengths from the i-th on can make s, which is at most space."""
+    out, full = [1], (1 << (space + 1)) - 1
+    for k in reversed(lengths):
+        own, n, step = out[-1], min(counts[k], space // k), 1
+        while n:
+            take = min(step, n)
+            own |= own << k * take & full
+            n, step = n - take, step * 2
+        out.append(own)
+    return out[::-1]
+
+
+def _dominated(lengths: list[int], counts: dict[int, int], filling: tuple[int, ...], waste: int) -> bool:
+    free = [x for x in lengths if counts[x] > filling.count(x)]
+    return any(x <= waste or any(k < x <= k + waste for k in set(filling)) for x in free)
+
+
+def complete_bins(counts: dict[int, int], room: int, nodes: int = 2_000) -> list[tuple[tuple[int, ...], int]]:
     """Fillings and how many bins have each: best-fit decreasing, bettered by branch and bound over completions.
 
     A branch completes bins around the largest length left, with as many bins of one filling at once as the counts
-    allow; it ends where the waste so far leaves no way to beat the incumbent. The search ends at the lower bound or
-    after so many nodes, with the incumbent.
+    allow; it ends where the waste so far leaves no way to beat the incumbent. Every undominated filling is a branch,
+    the tightest first. The search ends at the lower bound or after so many nodes, with the incumbent; STEPS steps
+    without a filling count as a node.
     """
     counts = {k: n for k, n in counts.items() if n}
     best = best_fit(counts, room)
@@ -162,32 +190,35 @@ def complete_bins(counts: dict[int, int], room: int, nodes: int = 2_000, breadth
     used = sum(n for _, n in best)
     spent = 0
 
-    # Each entry of the stack: what is left, the bins so far, their number and waste.
-    stack = [(dict(counts), (), 0, 0)]
+    def branch(left: dict[int, int], done: tuple, n_done: int, wasted: int) -> tuple:
+        largest = max(left)
+        rest = {**left, largest: left[largest] - 1}
+        return fillings(rest, room - largest, (used - 1) * room - total - wasted), left, done, n_done, wasted
+
+    # Each entry of the stack: the fillings to come, what is left, the bins so far, their number and waste.
+    stack = [branch(counts, (), 0, 0)] if used > bound else []
     while stack and used > bound and spent < nodes:
-        left, done, n_done, wasted = stack.pop()
-        spent += 1
-        allowed = (used - 1) * room - total
-        if wasted > allowed:
+        options, left, done, n_done, wasted = stack[-1]
+        allowed, largest = (used - 1) * room - total - wasted, max(left)
+        filling = next(options, False)
+        if filling is False or filling is not None and room - largest - sum(filling) > allowed:
+            stack.pop()
             continue
-        if not left:
-            if n_done < used:
-                best, used = [*done], n_done
+        spent += 1
+        if filling is None:
             continue
-        finished = best_fit(left, room)
-        if (n := n_done + sum(m for _, m in finished)) < used:
+        whole = Counter((largest, *filling))
+        times = min(left[k] // c for k, c in whole.items())
+        waste = room - largest - sum(filling)
+        if times * waste > allowed:
+            times = 1
+        after = {k: n for k, n in ((k, n - times * whole[k]) for k, n in left.items()) if n}
+        done = (*done, ((largest, *filling), times))
+        finished = best_fit(after, room)
+        if (n := n_done + times + sum(m for _, m in finished)) < used:
             best, used = [*done, *finished], n
-            continue
-        largest = max(left)
-        rest = {**left, largest: left[largest] - 1}
-        for filling in reversed(fillings(rest, room - largest, allowed - wasted, breadth)):
-            whole = Counter((largest, *filling))
-            times = min(left[k] // c for k, c in whole.items())
-            waste = times * (room - sum(k * c for k, c in whole.items()))
-            if wasted + waste > allowed:
-                times, waste = 1, waste // times
-            after = {k: n for k, n in ((k, n - times * whole[k]) for k, n in left.items()) if n}
-            stack.append((after, (*done, ((largest, *filling), times)), n_done + times, wasted + waste))
+        if after:
+            stack.append(branch(after, done, n_done + times, wasted + times * waste))
     return best
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import itertools
 import random
 import zlib
 from collections import Counter
@@ -415,6 +416,34 @@ def test_completion_beats_best_fit():
     assert used == Counter(counts)
 
 
+def test_fillings_are_all_undominated_ones():
+    rng = random.Random(11)
+    for _ in range(200):
+        counts = {rng.randint(1, 9): rng.randint(1, 3) for _ in range(rng.randint(1, 4))}
+        space, waste = rng.randint(0, 24), rng.randint(0, 6)
+        want = set()
+        for ns in itertools.product(*(range(n + 1) for n in counts.values())):
+            free, took = space - sum(k * n for k, n in zip(counts, ns)), dict(zip(counts, ns))
+            spare = [k for k in counts if took[k] < counts[k]]
+            if 0 <= free <= waste and not any(x <= free or any(took[k] and k < x <= k + free for k in counts) for x in spare):
+                want.add(tuple(sorted((k for k in counts for _ in range(took[k])), reverse=True)))
+        got = [f for f in packing.fillings(counts, space, waste) if f is not None]
+        assert len(got) == len(set(got)) and set(got) == want
+        assert [space - sum(f) for f in got] == sorted(space - sum(f) for f in got)
+
+
+def test_packing_of_many_short_documents():
+    rng = random.Random(12)
+    counts = Counter(rng.randint(60, 110) for _ in range(20_000))
+    plan = packing.complete_bins(counts, 1024)
+    had = Counter()
+    for filling, n in plan:
+        assert sum(filling) <= 1024
+        had.update({k: n * c for k, c in Counter(filling).items()})
+    assert had == counts
+    assert sum(n for _, n in plan) <= packing.least_bins(counts, 1024) + 3 < sum(n for _, n in packing.best_fit(counts, 1024))
+
+
 def test_packing_of_odd_and_empty_tables(odd, empty):
     got = rows_of(packing.pack(odd))
     assert Counter(r["doc_id"] for r in got if r["piece"] == 0) == Counter(r["doc_id"] for r in odd.collect())
