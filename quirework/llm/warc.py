@@ -7,6 +7,7 @@ import io
 import os
 import zlib
 from collections.abc import Iterator
+from contextlib import suppress
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -19,6 +20,9 @@ RANGE, FAN = 1 << 20, 16
 #: Records whose offsets one window sums.
 ROWS_PER_PART = 20_000
 
+#: Packed bytes that are unpacked at once, and those from which a member is known to start a record.
+SLICE, HEAD = 1 << 14, 1 << 10
+
 _RECORD = "file string, offset long, length long, warc_type string, url string, date string, content_type string, payload binary, complete boolean"
 
 
@@ -55,22 +59,61 @@ def parse(stream: io.BufferedIOBase, at: int = 0) -> Iterator[tuple[int, int, di
         yield start, at - start, headers, payload, ended and len(payload) == wanted
 
 
+def _unpacked(content: bytes, at: int, most: int | None = None) -> tuple[bytes, int, bool]:
+    """What the gzip member at a byte gives up to its end or an error, or to about so many packed bytes; where it ends; whether it is whole."""
+    unpack, out, end = zlib.decompressobj(31), [], at
+    last = len(content) if most is None else min(len(content), at + most)
+    while end < last and not unpack.eof:
+        piece, before = content[end : min(end + SLICE, last)], unpack.copy()
+        try:
+            out.append(unpack.decompress(piece))
+        except zlib.error:
+            # Byte by byte, for what comes out before the one that is wrong.
+            with suppress(zlib.error):
+                for k in range(len(piece)):
+                    out.append(before.decompress(piece[k : k + 1]))
+            return b"".join(out), end, False
+        end += len(piece)
+    return b"".join(out), end - len(unpack.unused_data), unpack.eof
+
+
+def _next_member(content: bytes, at: int) -> int | None:
+    """Where the first gzip member of a record from a byte on starts; gzip data inside of payloads are passed over."""
+    while (at := content.find(b"\x1f\x8b\x08", at)) >= 0:
+        if _unpacked(content, at, HEAD)[0].startswith(b"WARC/"):
+            return at
+        at += 1
+    return None
+
+
 def parse_file(content: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes, bool]]:
-    """As parse, for a whole file, plain or of gzip members; offsets and lengths of members are those in the file."""
+    """As parse, for a whole file, plain or of gzip members; offsets and lengths of members are those in the file.
+
+    The records of a damaged or truncated member come with complete false, or one without headers if none can be
+    unpacked; such a member lasts to the next one that starts a record. Zeros after a member are padding.
+    """
     if content[:2] != b"\x1f\x8b":
-        yield from parse(io.BytesIO(content))
-        return
+        first = None if content.startswith(b"WARC/") else _next_member(content, 0)
+        # The first member may be the one that is damaged, in its first two bytes.
+        if first is None or content.find(b"\nWARC/", 0, first) >= 0:
+            yield from parse(io.BytesIO(content))
+            return
     at = 0
     while at < len(content):
-        unpack = zlib.decompressobj(31)
-        try:
-            data, whole = unpack.decompress(content[at:]) + unpack.flush(), unpack.eof
-        except zlib.error:
-            data, whole = b"", False
-        size = len(content) - at - len(unpack.unused_data) if whole else len(content) - at
+        data, end, whole = _unpacked(content, at)
+        if not whole:
+            after = _next_member(content, at + 1)
+            end = len(content) if after is None else after
+            if not content[at] and not content[at:end].strip(b"\0"):
+                at = end
+                continue
+        found = False
         for _, _, headers, payload, complete in parse(io.BytesIO(data)):
-            yield at, size, headers, payload, complete and whole
-        at += size
+            found = True
+            yield at, end - at, headers, payload, complete and whole
+        if not found and not whole:
+            yield at, end - at, {}, data, False
+        at = end
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,7 +128,8 @@ def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """The records of WARC files (.warc or .warc.gz, under 2 GB each) at a path or glob, a row a record.
 
-    Truncated records come with what there is of them and complete = false; a file without records gives no rows.
+    Truncated and damaged records come with what there is of them and complete = false, and intact ones after them as
+    they are; a file without records gives no rows.
     """
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_parsed, _RECORD)
 

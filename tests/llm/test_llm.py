@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import itertools
 import random
@@ -228,6 +229,36 @@ def test_warc_round_trip(spark, sf, tmp_path):
         assert sorted((r["url"], bytes(r["payload"])) for r in back) == want and all(r["complete"] for r in back)
 
 
+def test_warc_with_a_damaged_member(spark, tmp_path):
+    rng = random.Random(13)
+    bodies = [bytes(rng.choices(b"abc <>\n", k=900)), rng.randbytes(40_000), gzip.compress(b"inner" * 50) + rng.randbytes(300), b"x", b"last"]
+    members = [gzip.compress(b"WARC/1.0\r\nWARC-Type: response\r\nWARC-Target-URI: u%d\r\nContent-Length: %d\r\n\r\n" % (i, len(x)) + x + b"\r\n\r\n", mtime=0) for i, x in enumerate(bodies)]
+    at = [0, *itertools.accumulate(map(len, members))]
+    raw = b"".join(members)
+    want = [(at[i], len(members[i]), f"u{i}", x, True) for i, x in enumerate(bodies)]
+    got = lambda content: [(o, n, h.get("warc-target-uri"), p, ok) for o, n, h, p, ok in warc.parse_file(content)]
+    assert got(raw) == want and got(raw + bytes(1000)) == want
+    for i in range(5):
+        own = len(members[i])
+        # Its magic, its flags, its data and its check sum; bytes 4 to 9 of a header change nothing.
+        for k in sorted({0, 1, 2, 3, 10, own // 4, own // 2, own - 9, own - 8, own - 4, *(range(10, own, 7) if own < 2000 else [])}):
+            bad = bytearray(raw)
+            bad[at[i] + k] ^= 0xFF
+            rows = got(bytes(bad))
+            assert [r for r in rows if r[0] < at[i]] == want[:i] and [r for r in rows if r[0] >= at[i + 1]] == want[i + 1 :]
+            hurt = [r for r in rows if at[i] <= r[0] < at[i + 1]]
+            assert hurt and not any(r[4] for r in hurt) and hurt[0][:2] == (at[i], own)
+    # A wrong check sum leaves all of the payload, and a byte in its middle what is before.
+    bad = bytearray(raw)
+    bad[at[2] - 8] ^= 1
+    assert got(bytes(bad))[1] == (*want[1][:4], False)
+    # Two in a row that are damaged, and one that is cut off at the end.
+    bad[at[3] - 8] ^= 1
+    assert got(bytes(bad[:-3])) == [want[0], (*want[1][:4], False), (*want[2][:4], False), want[3], (at[4], len(members[4]) - 3, "u4", b"last", False)]
+    (tmp_path / "a.warc.gz").write_bytes(bytes(bad))
+    assert sorted(r["complete"] for r in warc.read_warc(spark, f"file://{tmp_path}/a.warc.gz").collect()) == [False, False, True, True, True]
+
+
 def test_warc_truncated():
     raw = b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 10\r\n\r\nabc"
     assert [(h["warc-type"], p, ok) for _, _, h, p, ok in warc.parse_file(raw)] == [("response", b"abc", False)]
