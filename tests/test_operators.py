@@ -36,6 +36,25 @@ def test_components_of_nothing(spark):
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
+def test_similar_text_is_of_normalised_texts(spark):
+    code = "\n".join(f"    return value_{i:02d} + other(1);" for i in range(40))
+    words = [f"word{i}gram" for i in range(60)]
+    prose = " ".join(words)
+    texts = [code, code.replace("\n", "\r\n"), prose, prose.replace("gram", "\u00adgr\u200bam"), "".join(chr(ord(c) + 0xFEE0) if c.isalnum() else c for c in prose), " ".join(f"word{i}-\ngram" for i in range(60)), prose + " more"]
+    items = spark.createDataFrame([("p", i, t) for i, t in enumerate(texts)], "pack_id string, item_id long, text string")
+    rows = dedup.analyse(items)
+    made = {r["item_id"]: r for r in rows.collect()}
+    for i, t in enumerate(texts):
+        want = code if i < 2 else prose if i < 6 else t
+        r = made[i]
+        assert (r["kind"], r["original_bytes"], r["bytes"], r["characters"]) == ("code" if i < 2 else "prose", len(t.encode()), len(want.encode()), len(want))
+        assert r["sketch"] == S.sketch_of(want).tolist() and r["similarity_characters"] == len(want)
+    edges = {(r["left_id"], r["right_id"]): r for r in dedup.similar_text(rows).unionByName(dedup.equal_sketches(rows)).collect()}
+    assert set(edges) == {(0, 1), (2, 3), (2, 4), (2, 5), (2, 6)}
+    assert all(e["confidence"] == 1 for (_, right), e in edges.items() if right < 6)
+    assert all((e["bytes_saved"], e["characters_saved"]) == ((len(code),) * 2 if left == 0 else (len(prose),) * 2) for (left, _), e in edges.items())
+
+
 def test_similar_text_is_brute_force(spark):
     rng = random.Random(5)
     base = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta", "omega"]) + str(rng.randrange(9)) for _ in range(40)) for _ in range(12)]
