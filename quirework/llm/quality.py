@@ -11,7 +11,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirework.llm.common import held_out
+from quirework.llm.common import discard, held_out, written
 
 #: Bytes compressed at once. A text is as many blocks as it takes, so that a long one can't be its own dictionary.
 BLOCK = 1_024
@@ -106,37 +106,60 @@ def _measured(model: Compressors, scored: bool):
     return run
 
 
+def labelled_texts(docs: DataFrame, labels: DataFrame, seed: int) -> DataFrame:
+    """Each labelled text once, without the text itself: quality, id (the least doc_id that has it), h (its hash) and n (its code points).
+
+    Rows that are held out or have no text, and ids whose labels contradict each other, give none; a text that documents
+    of either label have counts once for each. A narrow row a document is all that is shuffled, however long the texts
+    and however often they are copied.
+    """
+    marked = labels.filter(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).filter("quality = other")
+    marked = marked.select(F.col("doc_id").cast("long").alias("marked_id"), F.col("quality").cast("int").alias("quality"))
+    own = docs.filter(~held_out(F.col("doc_id")) & (F.length("text") > 0))
+    own = own.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.lit(seed), F.col("text").cast("string")).alias("h"), F.length("text").alias("n"))
+    return own.join(marked, F.col("doc_id") == F.col("marked_id")).groupBy("quality", "h").agg(F.min("doc_id").alias("id"), F.min("n").alias("n"))
+
+
 def train(docs: DataFrame, labels: DataFrame, blocks: int = 6_000, rows: int = 6_000, seed: int = 11) -> Compressors | None:
     """Dictionaries and calibration from labelled rows that are not held out.
 
     docs: doc_id, text; labels: doc_id, quality (0 or 1). About blocks blocks of either label's texts, taken by hash
-    from anywhere in them, make the dictionaries; about rows whole documents of either label, none of which gave a
-    block, the calibration, weighed back to the labels' shares. None where a label is missing.
+    from anywhere in them, make the dictionaries; about rows whole texts of either label, none of which gave a block,
+    the calibration, weighed back to the labels' shares. A text counts once, however many documents copy it. What is
+    drawn is decided over a narrow table of hashes and lengths; a second reading of the documents then takes the drawn
+    texts alone, by a join with at most about 2 * (blocks + rows) ids, which are broadcast. None where a label is missing.
     """
-    marked = labels.filter(F.col("quality").isin(0, 1)).groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).filter("quality = other")
-    marked = marked.select(F.col("doc_id").alias("marked_id"), "quality")
-    known = docs.filter(~held_out(F.col("doc_id")) & (F.length("text") > 0)).select("doc_id", F.col("text").cast("string").alias("text"))
-    known = known.join(marked, F.col("doc_id") == F.col("marked_id")).select("text", "quality")
-    hashed = F.pmod(F.xxhash64(F.lit(seed), "text"), F.lit(1_000_003)) / 1_000_003.0
-    known = known.withColumn("drawn", hashed).withColumn("teaches", F.col("drawn") < 0.5)
-    sizes = known.groupBy("quality", "teaches").agg(F.count("*").alias("n"), F.sum(F.ceil(F.length("text") / BLOCK)).alias("blocks")).collect()
+    share = lambda *c: F.pmod(F.xxhash64(F.lit(seed + 1), *c), F.lit(1_000_003)) / 1_000_003.0
+    texts = labelled_texts(docs, labels, seed).withColumn("drawn", share("h")).withColumn("teaches", F.col("drawn") < 0.5)
+    texts = written(texts, "quality-texts")
+    sizes = texts.groupBy("quality", "teaches").agg(F.count("*").alias("n"), F.sum(F.ceil(F.col("n") / BLOCK)).alias("blocks")).collect()
     size = {(r["quality"], r["teaches"]): (r["n"], r["blocks"]) for r in sizes}
-    if len({q for q, _ in size}) < 2 or len(size) < 4:
+    if len(size) < 4:
+        discard(texts)
         return None
     by_quality = lambda what: F.when(F.col("quality") == 1, what(1)).otherwise(what(0))
-    cut = F.expr(f"transform(sequence(0, cast(ceil(length(text) / {BLOCK}.0) as int) - 1), i -> substring(text, 1 + i * {BLOCK}, {BLOCK}))")
-    parts = known.filter("teaches").select("quality", F.explode(cut).alias("block"))
-    parts = parts.filter(F.pmod(F.xxhash64(F.lit(seed + 1), "block"), F.lit(1_000_003)) / 1_000_003.0 < by_quality(lambda q: min(1.0, blocks / size[q, True][1])))
-    sampled = sorted((r["quality"], r["block"]) for r in parts.distinct().collect())
+    chance = by_quality(lambda q: min(1.0, blocks / size[q, True][1]))
+    numbers = F.sequence(F.lit(0), (F.ceil(F.col("n") / BLOCK) - 1).cast("int"))
+    taught = texts.filter("teaches").withColumn("at", F.filter(numbers, lambda i: share(F.col("h"), i) < chance)).filter(F.size("at") > 0)
+    tried = texts.filter(~F.col("teaches") & (F.col("drawn") < by_quality(lambda q: 0.5 + min(0.5, 0.5 * rows / size[q, False][0])))).withColumn("at", F.lit(None).cast("array<int>"))
+    drawn = written(taught.unionByName(tried).select("quality", "h", "id", "at"), "quality-drawn")
+    whole = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(drawn), F.col("doc_id") == F.col("id"))
+    whole = whole.filter(F.xxhash64(F.lit(seed), "text") == F.col("h"))
+    cut = F.transform("at", lambda i: F.substring("text", i * BLOCK + 1, F.lit(BLOCK)))
+    sampled = sorted((r["quality"], r["block"]) for r in whole.filter("at is not null").select("quality", F.explode(cut).alias("block")).distinct().collect())
     of = lambda q: dictionary([b.encode()[:BLOCK] for k, b in sampled if k == q])
     model = Compressors(of(1), of(0))
-    rest = known.filter(~F.col("teaches") & (F.col("drawn") < by_quality(lambda q: 0.5 + min(0.5, 0.5 * rows / size[q, False][0]))))
-    found = rest.select(F.col("quality").cast("long"), "text").mapInArrow(_measured(model, False), "key long, value double").collect()
+    key = F.struct("quality", "h")
+    found = whole.filter("at is null").select(key, "text").mapInArrow(_measured(model, False), "key struct<quality:int,h:long>, value double").distinct().collect()
+    discard(drawn)
+    discard(texts)
     if not found:
         return None
-    d, y = (np.array([r[c] for r in found], np.float64) for c in ("value", "key"))
-    share = {q: size[q, False][0] / max(1, (y == q).sum()) for q in (0, 1)}
-    weights = np.where(y == 1, share[1], share[0])
+    d, y = np.array([r["value"] for r in found], np.float64), np.array([r["key"]["quality"] for r in found], np.float64)
+    each = {q: size[q, False][0] / max(1, (y == q).sum()) for q in (0, 1)}
+    weights = np.where(y == 1, each[1], each[0])
+    order = np.lexsort((y, d))
+    d, y, weights = d[order], y[order], weights[order]
     model.knots = rising(d, y, weights)
     model.slope, model.offset = calibrate(d, y, weights)
     return model
