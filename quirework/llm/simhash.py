@@ -120,46 +120,77 @@ def _merge(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
             label[jumped] = label[label[jumped]]
 
 
-def links(left: np.ndarray, right: np.ndarray | None, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that connect what codes at most so many bits apart connect, as few as that takes: within left, or across."""
-    codes = left if right is None else np.concatenate([left, right])
-    label = np.arange(len(codes))
-    index, base = (GrayIndex(left), 0) if right is None else (GrayIndex(right), len(left))
-    _merge(label, *(x + base for x in index.alike(most)))
-    for at in range(0, len(left), 512):
-        q, c = index.search(left[at : at + 512], most)
-        _merge(label, q + at, c + base)
+def links(codes: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links that connect what codes (in Gray order) at most so many bits apart connect, as few as that takes."""
+    label, index = np.arange(len(codes)), GrayIndex(codes)
+    _merge(label, *index.alike(most))
+    for at in range(0, len(codes), 512):
+        q, c = index.search(codes[at : at + 512], most)
+        _merge(label, q + at, c)
     moved = np.flatnonzero(label != np.arange(len(codes)))
     return codes[moved], codes[label[moved]]
 
 
-def _pack(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+def _links(most: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for codes in batch.column(0):
+                a, b = links(np.frombuffer(codes.as_py(), np.uint64), most)
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], ["a", "b"])
+
+    return run
+
+
+def bands(agreed: int) -> list[int]:
+    """The bits that a group does not agree on yet, cut into bands of about equal width, as masks."""
+    free = [bit for bit in range(BITS) if not agreed >> bit & 1]
+    cuts = [len(free) * i // BANDS for i in range(BANDS + 1)]
+    return [sum(1 << bit for bit in free[a:b]) for a, b in zip(cuts, cuts[1:], strict=False)]
+
+
+def _dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Groups (the bits that they agree on, their fingerprints) to rows: each fingerprint once for each band of the other
+    bits, with the bits that it agrees on there, what they are, and its place in the Gray order."""
+    for batch in batches:
+        for agreed, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            codes = np.frombuffer(raw.as_py(), np.uint64)
+            now = [(agreed % (1 << BITS)) | mask for mask in bands(agreed % (1 << BITS))]
+            masks = np.repeat(np.array(now, np.uint64), len(codes))
+            all_codes = np.tile(codes, len(now))
+            columns = (masks, all_codes & masks, all_codes, gray_rank(all_codes) ^ np.uint64(1 << 63))
+            yield pa.RecordBatch.from_arrays([pa.array(c.view(np.int64)) for c in columns], ["agreed", "value", "fp", "rank"])
+
+
+def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Fingerprints to groups that agree on nothing yet."""
+    for batch in batches:
+        codes = batch.column(0).to_numpy(zero_copy_only=False)
+        yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([codes.tobytes()])], ["agreed", "codes"])
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of band, value and Gray rank to blocks of one band value, with the bits that a block shares."""
+    """Rows in order of agreed, value and Gray rank to blocks of one group; a large group makes several."""
     held: list[np.ndarray] = []
     key: tuple[int, int] | None = None
 
     def block(codes: np.ndarray) -> pa.RecordBatch:
-        mask = np.bitwise_and.reduce(codes) | np.bitwise_and.reduce(~codes)
-        values = [[key[0]], [key[1]], [f"{codes[0]:016x}"], [len(codes)], [int(mask.view(np.int64))], [int(codes[0].view(np.int64))], [codes.tobytes()]]
-        kinds = [pa.int32(), pa.int32(), pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds, strict=True)], ["band", "value", "first", "n", "mask", "code", "codes"])
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+        return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip((*key, len(codes), codes.tobytes()), kinds, strict=True)], ["agreed", "value", "n", "codes"])
 
     for batch in batches:
-        band, value = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-        codes = batch.column(2).to_numpy(zero_copy_only=False).view(np.uint64)
-        cuts = np.flatnonzero((np.diff(band) != 0) | (np.diff(value) != 0)) + 1
+        agreed, value, codes = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
+        cuts = np.flatnonzero((np.diff(agreed) != 0) | (np.diff(value) != 0)) + 1
         for a, b in zip([0, *cuts], [*cuts, len(codes)], strict=True):
             if a == b:
                 continue
-            if key != (now := (int(band[a]), int(value[a]))):
+            if key != (now := (int(agreed[a]), int(value[a]))):
                 if held:
                     yield block(np.concatenate(held))
                 held, key = [], now
-            held.append(codes[a:b])
+            own = codes[a:b].view(np.uint64)
+            # A fingerprint can come to a group on two ways; equal ones follow each other.
+            fresh = np.concatenate(([not held or held[-1][-1] != own[0]], own[1:] != own[:-1]))
+            held.append(own[fresh]) if fresh.any() else None
             while sum(map(len, held)) > BLOCK:
                 whole = np.concatenate(held)
                 yield block(whole[:BLOCK])
@@ -168,59 +199,38 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield block(np.concatenate(held))
 
 
-def _links_within(most: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for codes in batch.column(0):
-                yield _pack(*links(np.frombuffer(codes.as_py(), np.uint64), None, most))
-
-    return run
-
-
-def _links_across(most: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for left, right in zip(batch.column(0), batch.column(1), strict=True):
-                yield _pack(*links(*(np.frombuffer(x.as_py(), np.uint64) for x in (left, right)), most))
-
-    return run
-
-
-def _gray(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Each fingerprint once for each of its bands, with the band's value and its place in the Gray order."""
-    width = BITS // BANDS
-    for batch in batches:
-        fp = batch.column(0).to_numpy(zero_copy_only=False)
-        codes = fp.view(np.uint64)
-        rank = (gray_rank(codes) ^ np.uint64(1 << 63)).view(np.int64)
-        band = np.repeat(np.arange(BANDS, dtype=np.int32), len(codes))
-        value = np.concatenate([(codes >> np.uint64(width * i)) & np.uint64((1 << width) - 1) for i in range(BANDS)]).astype(np.int32)
-        yield pa.RecordBatch.from_arrays([pa.array(band), pa.array(value), pa.array(np.tile(fp, BANDS)), pa.array(np.tile(rank, BANDS))], ["band", "value", "fp", "rank"])
-
-
 def fingerprint_links(codes: DataFrame, most: int = 3) -> DataFrame:
     """Links (a, b) that connect exactly what fingerprints at most so many bits apart (3 at the most) connect.
 
-    codes: fp, distinct. Every two such fingerprints agree on a band. Per band, the fingerprints are sorted by the
-    band's value and then by Gray rank over all partitions, and cut into blocks of bounded size that hold one value
-    each; a block is searched through its index. Blocks of one value, where it has several, are compared two by two,
-    but for those that their shared bits already keep too far apart. Of the links of a block or pair, only as many
-    come out as connect it: no group of near copies is written out as pairs.
+    codes: fp, distinct. Every two such fingerprints agree on one of four bands of their bits. Fingerprints are dealt
+    to groups of one band's value each and sorted by Gray rank over all partitions; a group that fits a block is
+    searched through its index. A group that does not is never compared block by block: on the bits that it does not
+    agree on yet, two such fingerprints again agree on one of four bands, so its members are dealt anew by those, and
+    so on. At 1e11 fingerprints a group of 16 agreed bits has 1.5 million members, one of 28 bits 400. A group's free
+    bits shrink by a quarter a round, and so few are left in the end that it must fit: no task sees more than a block.
+    Of the links of a block, only as many come out as connect it: no group of near copies is written out as pairs.
     """
     if not 0 <= most < BANDS:
         raise ValueError(f"most must be from 0 to {BANDS - 1}")
-    dealt = codes.mapInArrow(_gray, "band int, value int, fp long, rank long")
-    blocks = dealt.repartitionByRange("band", "value", "rank").sortWithinPartitions("band", "value", "rank")
-    blocks = blocks.select("band", "value", "fp").mapInArrow(_blocks, "band int, value int, first string, n int, mask long, code long, codes binary")
-    blocks = written(blocks, "simhash-blocks")
-    within = blocks.filter("n > 1").select("codes").mapInArrow(_links_within(most), "a long, b long")
-    several = blocks.groupBy("band", "value").count().filter("count > 1").select(F.col("band").alias("s_band"), F.col("value").alias("s_value"))
-    split = blocks.join(several, (F.col("band") == F.col("s_band")) & (F.col("value") == F.col("s_value")), "left_semi")
-    x, y = split.alias("x"), split.alias("y")
-    apart = F.bit_count(F.expr("(x.code ^ y.code) & x.mask & y.mask"))
-    pairs = x.join(y, F.expr("x.band = y.band and x.value = y.value and x.first < y.first") & (apart <= most))
-    across = pairs.select("x.codes", "y.codes").toDF("l", "r").mapInArrow(_links_across(most), "a long, b long")
-    return within.unionByName(across)
+    found, free = None, BITS
+    groups = codes.select("fp").mapInArrow(_packed, "agreed long, codes binary")
+    while True:
+        free -= free // BANDS
+        dealt = groups.mapInArrow(_dealt, "agreed long, value long, fp long, rank long")
+        # A group may lie in several partitions, and then is dealt anew; the last ones, which fit a block, may not.
+        order = ["agreed", "value", "rank"] if 1 << free > BLOCK else ["agreed", "value"]
+        rows = dealt.repartitionByRange(*order).sortWithinPartitions("agreed", "value", "rank").select("agreed", "value", "fp")
+        blocks = written(rows.mapInArrow(_blocks, "agreed long, value long, n int, codes binary"), "simhash-blocks")
+        several = blocks.groupBy("agreed", "value").count().filter("count > 1").select(F.col("agreed").alias("s_agreed"), F.col("value").alias("s_value"))
+        several = written(several, "simhash-several")
+        done = several.isEmpty()
+        large = (F.col("agreed") == F.col("s_agreed")) & (F.col("value") == F.col("s_value"))
+        whole = blocks if done else blocks.join(several, large, "left_anti")
+        own = written(whole.filter("n > 1").select("codes").mapInArrow(_links(most), "a long, b long"), "simhash-links")
+        found = own if found is None else found.unionByName(own)
+        if done:
+            return found
+        groups = blocks.join(several, large, "left_semi").select("agreed", "codes")
 
 
 def _classes(docs: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
