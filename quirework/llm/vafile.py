@@ -9,167 +9,355 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quirework.llm.common import written
+from quirework.llm.common import discard, written
 
 #: Vectors in a block of candidates, and in a block of queries.
 BLOCK, QUERY_BLOCK = 8_192, 512
-#: Cells that each component is cut into.
-CELLS = 16
-#: Queries whose bounds are held at once.
-AT_ONCE = 64
+#: Candidates that a task scans for a block of queries before it gives what it found.
+SPAN = 65_536
+#: Cells that each component is cut into: a cell's number is a byte.
+CELLS = 256
+#: Candidates of a block whose bounds give the first threshold.
+FIRST = 1_024
 #: Exact vectors that a search reads at once, in the order of their bounds.
 STEP = 64
+#: Candidates held for the queries of a task before it gives them away.
+MOST_HELD = 4_000_000
 
+_LONG = 2**63 - 1
 
-def _packed(vectors: np.ndarray) -> bytes:
+
+def _packed(numbers: np.ndarray) -> bytes:
     """Whole numbers in 16 bits each where all fit, else as they are."""
-    small = vectors.size and np.abs(vectors).max() < 2**15
-    return vectors.astype("<i2" if small else "<f8").tobytes()
-
-
-def _vectors(raw: bytes, n: int, dim: int) -> np.ndarray:
-    kind = "<i2" if len(raw) == 2 * n * dim else "<f8"
-    return np.frombuffer(raw, kind).reshape(n, dim).astype(np.float64)
-
-
-class VaFile:
-    """A block of whole-number vectors with, per component, the cell of each value and the cells' exact limits."""
-
-    def __init__(self, vectors: np.ndarray, ids: np.ndarray):
-        self.vectors, self.ids = vectors, ids
-        # Cells hold about as many values each; their limits are the least and greatest value inside.
-        cuts = np.quantile(vectors, np.linspace(0, 1, CELLS + 1)[1:-1], axis=0, method="lower").T
-        self.cells = np.stack([np.searchsorted(c, x, "right") for c, x in zip(cuts, vectors.T, strict=True)], 1).astype(np.uint8)
-        low, high = (np.full((vectors.shape[1], CELLS), x) for x in (np.inf, -np.inf))
-        dims = np.broadcast_to(np.arange(vectors.shape[1]), self.cells.shape)
-        np.minimum.at(low, (dims, self.cells), vectors)
-        np.maximum.at(high, (dims, self.cells), vectors)
-        self.low, self.high = (np.take_along_axis(x, self.cells.T.astype(np.int64), 1).T.copy() for x in (np.where(np.isinf(low), 0, low), np.where(np.isinf(high), 0, high)))
-
-    def bounds(self, queries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Least and greatest score that each vector can have with each query, from cells alone."""
-        up, down = np.maximum(queries, 0), np.minimum(queries, 0)
-        return up @ self.low.T + down @ self.high.T, up @ self.high.T + down @ self.low.T
-
-    def search(self, queries: np.ndarray, own: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For each query its k best (place, score), ties by id; own: the place to leave out, or -1.
-
-        Only vectors whose greatest possible score reaches the kth of the least possible ones are candidates. Their exact
-        vectors are read in the order of their bounds, until the kth score found is above the next bound.
-        """
-        for at in range(0, len(queries), AT_ONCE):
-            yield from self._search(queries[at : at + AT_ONCE], own[at : at + AT_ONCE], k)
-
-    def _search(self, queries: np.ndarray, own: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        least, most = self.bounds(queries)
-        for i, query in enumerate(queries):
-            if own[i] >= 0:
-                least[i, own[i]] = most[i, own[i]] = -np.inf
-            n = len(self.ids) - (own[i] >= 0)
-            sure = -np.partition(-least[i], k - 1)[k - 1] if n > k else -np.inf
-            near = np.flatnonzero(most[i] >= sure) if np.isfinite(sure) else np.flatnonzero(most[i] > -np.inf)
-            near = near[np.argsort(-most[i, near], kind="stable")]
-            scores, at = np.empty(0), 0
-            while at < len(near):
-                if at >= k and -np.partition(-scores, k - 1)[k - 1] > most[i, near[at]]:
-                    break
-                scores = np.append(scores, self.vectors[near[at : at + STEP]] @ query)
-                at += STEP
-            near = near[: len(scores)]
-            best = np.lexsort((self.ids[near], -scores))[:k]
-            yield near[best], scores[best]
-
-
-def _search(k: int):
+    small = numbers.size and np.abs(numbers).max() < 2**15
+    return numbers.astype("<i2" if small else "<f8").tobytes()
+
+
+def _unpacked(raw: bytes, rows: int, columns: int) -> np.ndarray:
+    return np.frombuffer(raw, "<i2" if len(raw) == 2 * rows * columns else "<f8").reshape(rows, columns)
+
+
+# Approximations.
+
+
+def approximated(vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(cells: a byte a component, low, high: the least and greatest value in each cell of each component).
+
+    A component with few values has a cell for each, and its approximation is exact; others have cells of about as many
+    values each, so a value far off widens no cell but its own.
+    """
+    n, dim = vectors.shape
+    cells, low, high = np.empty((n, dim), np.uint8), np.zeros((dim, CELLS)), np.zeros((dim, CELLS))
+    for d in range(dim):
+        own = vectors[:, d]
+        values = np.unique(own)
+        if len(values) <= CELLS:
+            cells[:, d] = np.searchsorted(values, own)
+            low[d, : len(values)] = high[d, : len(values)] = values
+            continue
+        cuts = np.quantile(own, np.linspace(0, 1, CELLS + 1)[1:-1], method="lower")
+        cells[:, d] = np.searchsorted(cuts, own, "right")
+        least, most = np.full(CELLS, np.inf), np.full(CELLS, -np.inf)
+        np.minimum.at(least, cells[:, d], own)
+        np.maximum.at(most, cells[:, d], own)
+        low[d], high[d] = np.where(np.isinf(least), 0, least), np.where(np.isinf(most), 0, most)
+    return cells, low, high
+
+
+def bounds(queries: np.ndarray, cells: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least and greatest score of each query with each vector, from the vector's cells alone; one array where both are the same."""
+    with np.errstate(all="ignore"):
+        # The greatest a sum of products can be: below these, floating numbers hold it and its parts exactly.
+        reach = float((np.abs(queries) @ np.maximum(np.abs(low), np.abs(high)).max(1, keepdims=True)).max(initial=0.0))
+        kind = np.float32 if reach < 2**22 else np.float64
+        at = cells.T.astype(np.intp)
+        middle = np.take_along_axis(((low + high) / 2).astype(kind), at, 1)
+        scores = queries.astype(kind) @ middle
+        loose = 0.0 if reach < 2**50 else reach * queries.shape[1] * 1e-15
+        if not loose and not (high > low).any():
+            return scores, scores
+        spread = np.abs(queries).astype(kind) @ np.take_along_axis(((high - low) / 2).astype(kind), at, 1) + kind(loose)
+        return np.nan_to_num(scores - spread, nan=-np.inf), np.nan_to_num(scores + spread, nan=np.inf)
+
+
+class Found:
+    """Of a block of queries: the greatest least scores found so far, and the candidates that may reach them."""
+
+    def __init__(self, queries: int, k: int, floor: np.ndarray | float = -np.inf):
+        # One more than k, as the query's own row is among the candidates.
+        self.sure, self.floor = np.full((queries, k + 1), -np.inf), floor
+        self.near: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
+        self.held = 0
+
+    @property
+    def threshold(self) -> np.ndarray:
+        return np.maximum(self.sure.min(1), self.floor)
+
+    def add_sure(self, q: np.ndarray, least: np.ndarray) -> None:
+        """Least scores of single candidates, in the order of queries."""
+        starts = np.flatnonzero(np.diff(q, prepend=-1))
+        for a, b in zip(starts, [*starts[1:], len(q)], strict=True):
+            both = np.concatenate([self.sure[q[a]], least[a:b]])
+            self.sure[q[a]] = np.partition(both, len(both) - self.sure.shape[1])[-self.sure.shape[1] :]
+
+    def scan(self, queries: np.ndarray, block: int, cells: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
+        """The candidates of a block whose greatest score reaches the threshold."""
+        with np.errstate(all="ignore"):
+            # What no vector of the block can pass, whatever its cells.
+            most = np.maximum(queries, 0) @ high.max(1) + np.minimum(queries, 0) @ low.min(1)
+        if (most < self.threshold).all():
+            return
+        least, most = bounds(queries, cells, low, high)
+        first = least[:, :FIRST]
+        if np.isinf(self.threshold).any() and first.shape[1] >= self.sure.shape[1]:
+            sure = np.maximum(self.threshold, np.partition(first, first.shape[1] - self.sure.shape[1], 1)[:, -self.sure.shape[1]])
+        else:
+            sure = self.threshold
+        q, place = np.nonzero(most >= sure[:, None])
+        self.add_sure(q, least[q, place])
+        self.near.append((q.astype(np.int32), np.full(len(q), block, np.int64), place.astype(np.int32), most[q, place].astype(np.float64)))
+        self.held += len(q)
+
+    def candidates(self) -> list[np.ndarray]:
+        """Query, block, place and greatest score of what reaches the threshold now."""
+        if not self.near:
+            return [np.empty(0, k) for k in (np.int32, np.int64, np.int32, np.float64)]
+        whole = [np.concatenate(c) for c in zip(*self.near, strict=True)]
+        return [c[whole[3] >= self.threshold[whole[0]]] for c in whole]
+
+    def thinned(self) -> None:
+        self.near = [tuple(self.candidates())]
+        self.held = len(self.near[0][0])
+
+
+_NEAR = "q_block long, n_q int, sure binary, q binary, block binary, place binary, most binary"
+
+
+def _near_row(q_block: int, found: Found) -> pa.RecordBatch:
+    values = [q_block, len(found.sure), found.sure.tobytes(), *(c.tobytes() for c in found.candidates())]
+    kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 5]
+    return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], [c.split()[0] for c in _NEAR.split(", ")])
+
+
+def _scan(k: int):
+    """Pairs of a block of queries and a block of approximations to the candidates of each block of queries."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: tuple[object, VaFile] | None = None
+        held: dict[int, tuple[np.ndarray, Found]] = {}
+        for batch in batches:
+            columns = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+            for i in range(batch.num_rows):
+                r = {name: c[i].as_py() for name, c in columns.items()}
+                if r["q_block"] not in held:
+                    # Pairs come in the order of query blocks; where they don't, more rows say the same.
+                    yield from (_near_row(b, f) for b, (_, f) in held.items())
+                    held = {r["q_block"]: (_unpacked(r["q_vectors"], r["n_q"], r["dim"]).astype(np.float64), Found(r["n_q"], k))}
+                queries, found = held[r["q_block"]]
+                low, high = (_unpacked(r[c], r["dim"], CELLS).astype(np.float64) for c in ("low", "high"))
+                found.scan(queries, r["block"], np.frombuffer(r["cells"], np.uint8).reshape(r["n"], r["dim"]), low, high)
+                if found.held > MOST_HELD:
+                    found.thinned()
+                    if found.held > MOST_HELD // 2:
+                        yield _near_row(r["q_block"], found)
+                        # A score is told once, or it would count for two candidates.
+                        held[r["q_block"]] = (queries, Found(r["n_q"], k, found.threshold))
+        yield from (_near_row(b, f) for b, (_, f) in held.items())
+
+    return run
+
+
+def _joined(k: int):
+    """Rows of _scan, in the order of query blocks, to the candidates that are left when all are known: a row a block of exact vectors to read."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: tuple[int, Found] | None = None
+
+        def out(q_block: int, found: Found) -> Iterator[pa.RecordBatch]:
+            q, block, place, most = found.candidates()
+            order = np.argsort(block, kind="stable")
+            starts = np.flatnonzero(np.diff(block[order], prepend=-1))
+            for a, b in zip(starts, [*starts[1:], len(order)], strict=True):
+                own = order[a:b]
+                values = [q_block, int(block[own[0]]), q[own].tobytes(), place[own].tobytes(), most[own].tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, (pa.int64(), pa.int64(), *[pa.binary()] * 3), strict=True)], ["q_block", "block", "q", "place", "most"])
+
         for batch in batches:
             for r in batch.to_pylist():
-                ids = np.frombuffer(r["ids"], np.int64)
-                if held is None or held[0] != r["block"]:
-                    held = (r["block"], VaFile(_vectors(r["vectors"], len(ids), r["dim"]), ids))
-                q_ids, q_block, q_at = (np.frombuffer(r[c], np.int64) for c in ("q_ids", "q_blocks", "q_places"))
-                own = np.where(q_block == r["block"], q_at, -1)
-                columns: list[list[np.ndarray]] = [[], [], [], [], []]
-                for i, (place, score) in enumerate(held[1].search(_vectors(r["q_vectors"], len(q_ids), r["dim"]), own, k)):
-                    for column, value in zip(columns, (q_ids[i], q_block[i], q_at[i]), strict=False):
-                        column.append(np.full(len(place), value))
-                    columns[3].append(ids[place])
-                    columns[4].append(score.astype(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in columns], ["query_id", "q_block", "q_place", "vec_id", "score"])
+                if held is None or held[0] != r["q_block"]:
+                    if held:
+                        yield from out(*held)
+                    held = (r["q_block"], Found(r["n_q"], k))
+                found, sure = held[1], np.frombuffer(r["sure"]).reshape(r["n_q"], k + 1)
+                found.add_sure(np.repeat(np.arange(r["n_q"]), k + 1), sure.ravel())
+                found.near.append(tuple(np.frombuffer(r[c], t) for c, t in zip(("q", "block", "place", "most"), (np.int32, np.int64, np.int32, np.float64), strict=True)))
+                found.thinned()
+        if held:
+            yield from out(*held)
 
     return run
 
 
-def _blocks(size: int):
-    """Vectors to blocks of one dimension. A block's number is from its place: no two blocks have the same."""
+# Exact vectors.
+
+
+def exact(query: np.ndarray, vectors: np.ndarray) -> list[int]:
+    """Inner products of whole numbers, exactly."""
+    with np.errstate(all="ignore"):
+        reach = np.abs(vectors).max(initial=0.0) * np.abs(query).sum()
+    if reach < 2**53:
+        return (vectors @ query).astype(np.int64).tolist()
+    whole = [int(x) for x in query.tolist()]
+    return [sum(a * int(b) for a, b in zip(whole, v, strict=True)) for v in vectors.tolist()]
+
+
+def _best(query: np.ndarray, vectors: np.ndarray, ids: list[np.ndarray], most: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
+    """The k best (score, id) of candidates, read in the order of their bounds until the rest can't reach the kth; a row of own is left out."""
+    order, scores, at = np.argsort(-most, kind="stable"), [], 0
+    while at < len(order):
+        if at > k and sorted(scores, reverse=True)[k] > most[order[at]]:
+            break
+        scores += exact(query, vectors[order[at : at + STEP]])
+        at += STEP
+    rows, gone = [], False
+    for i, score in zip(order, scores, strict=False):
+        found = ids[i].tolist()
+        if not gone and own in found and (vectors[i] == query).all():
+            found.remove(own)
+            gone = True
+        rows += [(score, x) for x in found]
+    return sorted(rows, key=lambda r: (-r[0], r[1]))[:k]
+
+
+def _read(k: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+            for i in range(batch.num_rows):
+                r = {name: c[i].as_py() for name, c in columns.items()}
+                counts, flat = np.frombuffer(r["counts"], np.int32), np.frombuffer(r["ids"], np.int64)
+                ends = np.cumsum(counts)
+                vectors, queries = _unpacked(r["vectors"], r["n"], r["dim"]), _unpacked(r["q_vectors"], r["n_q"], r["dim"])
+                q_ids = np.frombuffer(r["q_ids"], np.int64)
+                q, place, most = (np.frombuffer(r[c], t) for c, t in (("q", np.int32), ("place", np.int32), ("most", np.float64)))
+                out: list[tuple[int, int, int, int, int]] = []
+                order = np.argsort(q, kind="stable")
+                starts = np.flatnonzero(np.diff(q[order], prepend=-1))
+                for a, b in zip(starts, [*starts[1:], len(order)], strict=True):
+                    mine = order[a:b]
+                    at, own = int(q[mine[0]]), place[mine]
+                    ids = [flat[ends[p] - counts[p] : ends[p]] for p in own]
+                    for score, vec_id in _best(queries[at].astype(np.float64), vectors[own].astype(np.float64), ids, most[mine], int(q_ids[at]), k):
+                        out.append((int(q_ids[at]), r["q_block"], at, vec_id, max(-_LONG, min(_LONG, score))))
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["query_id", "q_block", "q_place", "vec_id", "score"])
+
+    return run
+
+
+# Blocks.
+
+_CANDIDATES = "block long, dim int, n int, cells binary, low binary, high binary, vectors binary, ids binary, counts binary"
+_QUERIES = "q_block long, dim int, n_q int, q_vectors binary, q_ids binary"
+
+
+def _blocks(size: int, approximate: bool):
+    """Rows (ids, v) to blocks of one dimension. A block's number is from its place: no two blocks have the same."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         part, count = TaskContext.get().partitionId(), 0
-        held: dict[int, tuple[list[int], list[np.ndarray], list[tuple[int, int]]]] = {}
+        held: dict[int, tuple[list[list[int]], list[list[float]]]] = {}
 
         def out(dim: int) -> pa.RecordBatch:
             nonlocal count
-            ids, vectors, places = held.pop(dim)
+            ids, rows = held.pop(dim)
             count += 1
-            where = np.array(places, np.int64).reshape(-1, 2)
-            raw = [np.array(ids, np.int64).tobytes(), _packed(np.stack(vectors)), where[:, 0].tobytes(), where[:, 1].tobytes()]
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(((part << 32) + count, dim, *raw), (pa.int64(), pa.int32(), *[pa.binary()] * 4), strict=True)], ["block", "dim", "ids", "vectors", "blocks", "places"])
+            vectors = np.array(rows, np.float64)
+            flat = np.array([x for own in ids for x in own], np.int64).tobytes()
+            values = [(part << 32) + count, dim, len(ids)]
+            if approximate:
+                cells, low, high = approximated(vectors)
+                values += [cells.tobytes(), _packed(low), _packed(high), _packed(vectors), flat, np.array([len(own) for own in ids], np.int32).tobytes()]
+            else:
+                values += [_packed(vectors), flat]
+            kinds = [pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * (len(values) - 3)]
+            names = [c.split()[0] for c in (_CANDIDATES if approximate else _QUERIES).split(", ")]
+            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds, strict=True)], names)
 
         for batch in batches:
-            for r in batch.to_pylist():
-                ids, vectors, places = held.setdefault(len(r["v"]), ([], [], []))
-                ids.append(r["vec_id"])
-                vectors.append(np.array(r["v"], np.float64))
-                places.append((r.get("block", 0), r.get("place", 0)))
+            for own, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                ids, rows = held.setdefault(len(v), ([], []))
+                ids.append(own)
+                rows.append(v)
                 if len(ids) >= size:
-                    yield out(len(r["v"]))
+                    yield out(len(v))
         for dim in list(held):
             yield out(dim)
 
     return run
 
 
-def _queries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The rows of candidate blocks that are queries, each with its place, so that it can leave itself out."""
-    for batch in batches:
-        for r in batch.to_pylist():
-            ids = np.frombuffer(r["ids"], np.int64)
-            at = np.flatnonzero(ids % r["step"] == 0)
-            yield pa.RecordBatch.from_arrays([pa.array(ids[at]), pa.array(_vectors(r["vectors"], len(ids), r["dim"])[at].tolist(), pa.list_(pa.float64())), pa.array(np.full(len(at), r["block"])), pa.array(at)], ["vec_id", "v", "block", "place"])
-
-
 def top_k(vectors: DataFrame, k: int = 20, step: int = 20, scale: float = 64.0) -> DataFrame:
     """The k rows of highest inner product for each row whose vec_id is divisible by step, exactly.
 
     vectors: vec_id, embedding; other columns are ignored. A component x counts as floor(scale * x). Candidates of a
     query are all rows of its dimension but its own row; rows that repeat a vec_id are rows of their own. Ties go to the
-    smaller vec_id. Vectors that are null or empty, or hold a null or non-finite component, take no part, nor do rows
-    without vec_id. Scores are exact while the products of a pair sum to less than 2**53. An empty table gives no rows.
-
-    The vectors are written once as blocks of bounded size; each block of queries meets each block of candidates of its
-    dimension, where it reads approximations first and exact vectors only as far as their bounds demand. Each such
-    pair gives at most k rows a query. Returns query_id, rank (from 1), vec_id, score.
+    smaller vec_id. Vectors that are null or empty, or hold a null or non-finite component (also after scaling), take no
+    part, nor do rows without vec_id. Sums are exact whatever their size; scores that a long can't hold come out as the
+    nearest long (2**63 - 1 or its negative) and rank as such. An empty table gives no rows.
+
+    Equal vectors are one candidate with their k + 1 least ids, so a vector that many rows hold costs no more than
+    another. Candidates are written once as blocks: a byte a component, the limits of its cell, and apart from them the
+    exact vectors. Each block of queries meets the approximations of all blocks, in spans of bounded size, and gives the
+    greatest least scores and the candidates that may reach them; when the spans are put together, the kth of those
+    scores is a bound over the whole table. Exact vectors are read for the candidates that reach it, in the order of
+    their bounds until the kth score is certain: about k a query come out, whatever the number of blocks.
+    Returns query_id, rank (from 1), vec_id, score.
     """
-    v = F.transform(F.col("embedding"), lambda x: F.floor(x.cast("double") * scale).cast("double"))
-    bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(x.cast("double")) | (F.abs(x.cast("double")) == float("inf")))
-    rows = vectors.filter(F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & ~bad).select(F.col("vec_id").cast("long"), v.alias("v"))
-    kinds = "block long, dim int, ids binary, vectors binary, blocks binary, places binary"
-    parts = max(1, -(-rows.count() // BLOCK))
-    blocks = rows.repartition(parts, "vec_id").mapInArrow(_blocks(BLOCK), kinds)
-    blocks = written(blocks.select("block", "dim", "ids", "vectors"), "va-blocks")
-    asked = blocks.withColumn("step", F.lit(step)).mapInArrow(_queries, "vec_id long, v array<double>, block long, place long")
-    queries = asked.mapInArrow(_blocks(QUERY_BLOCK), kinds)
-    queries = written(queries.select("dim", F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), F.col("blocks").alias("q_blocks"), F.col("places").alias("q_places")), "va-queries")
-    # Every query block meets every block: spread evenly, each pair a row of bounded size.
-    numbers = blocks.select(F.col("block").alias("b"), F.col("dim").alias("b_dim"))
-    pairs = queries.join(numbers, F.col("dim") == F.col("b_dim")).repartition(parts, "b")
-    pairs = pairs.drop("b_dim").join(blocks.drop("dim"), F.col("b") == F.col("block")).drop("b")
-    found = pairs.mapInArrow(_search(k), "query_id long, q_block long, q_place long, vec_id long, score long")
+    spark = vectors.sparkSession
+    scaled = lambda x: x.cast("double") * scale
+    floor = lambda y: F.when(F.rint(y) > y, F.rint(y) - 1.0).otherwise(F.rint(y)) + 0.0
+    bad = F.exists("embedding", lambda x: x.isNull() | F.isnan(scaled(x)) | (F.abs(scaled(x)) == float("inf")))
+    rows = vectors.filter(F.col("vec_id").isNotNull() & (F.size("embedding") > 0) & ~bad).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
+    v = F.transform("embedding", lambda x: floor(scaled(x))).alias("v")
+
+    equal = Window.partitionBy("embedding").orderBy("vec_id")
+    least = rows.withColumn("place", F.row_number().over(equal)).filter(F.col("place") <= k + 1)
+    classes = least.withColumn("ids", F.collect_list("vec_id").over(equal.rowsBetween(0, k))).filter("place = 1")
+    blocks = written(classes.select("ids", v).mapInArrow(_blocks(BLOCK, True), _CANDIDATES), "va-blocks")
+    asked = rows.filter(F.col("vec_id") % step == 0)
+    asked = asked.select(F.array("vec_id").alias("ids"), v).repartition(max(1, -(-asked.count() // QUERY_BLOCK)))
+    queries = written(asked.mapInArrow(_blocks(QUERY_BLOCK, False), _QUERIES), "va-queries")
+
+    # Spans of candidates and groups of query blocks meet each other: a row a dimension says how many there are.
+    sizes = {r["dim"]: r["n"] for r in blocks.groupBy("dim").agg(F.sum("n").alias("n")).collect()}
+    wanted = {r["dim"]: r["n"] for r in queries.groupBy("dim").agg(F.count("*").alias("n")).collect()}
+    spans = {dim: -(-n // SPAN) for dim, n in sizes.items()}
+    tasks = 4 * spark.sparkContext.defaultParallelism
+    meets = [(dim, spans[dim], min(n, max(1, -(-tasks // spans[dim])))) for dim, n in wanted.items()]
+    if not meets:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    plan = F.broadcast(spark.createDataFrame(meets, "m_dim int, spans int, groups int"))
+    parts = max(1, min(20_000, sum(s * g for _, s, g in meets)))
+    key = ["dim", "span", "part"]
+    cells = blocks.select("block", "dim", "n", "cells", "low", "high").join(plan, F.col("dim") == F.col("m_dim"))
+    cells = cells.withColumn("span", F.pmod(F.xxhash64("block"), "spans")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
+    cells = cells.drop("m_dim", "spans", "groups").repartition(parts, *key)
+    own = queries.drop("q_ids").join(plan, F.col("dim") == F.col("m_dim"))
+    own = own.withColumn("part", F.pmod(F.xxhash64("q_block"), "groups").cast("int")).withColumn("span", F.explode(F.sequence(F.lit(0).cast("long"), F.col("spans").cast("long") - 1)))
+    own = own.drop("m_dim", "spans", "groups").repartition(parts, *key)
+    near = own.join(cells.hint("merge"), key).drop("span", "part").mapInArrow(_scan(k), _NEAR)
+
+    left = near.repartition("q_block").sortWithinPartitions("q_block").mapInArrow(_joined(k), "q_block long, block long, q binary, place binary, most binary")
+    left = written(left, "va-candidates")
+    held = blocks.select("block", "n", "vectors", "ids", "counts")
+    found = left.join(held, "block").join(queries, "q_block").mapInArrow(_read(k), "query_id long, q_block long, q_place long, vec_id long, score long")
     rank = F.row_number().over(Window.partitionBy("query_id", "q_block", "q_place").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    out = written(found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "va-found")
+    for table in (blocks, queries, left):
+        discard(table)
+    return out
 
 
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
