@@ -400,22 +400,50 @@ def test_langid_of_odd_and_empty_tables(odd, empty):
 # 8 Top-k.
 
 
-def test_top_k_is_brute_force(spark):
-    rng = np.random.default_rng(6)
-    vectors = np.concatenate([rng.normal(0, 0.2, (150, 16)), np.tile(rng.normal(0, 0.2, (1, 16)), (40, 1))]).astype(np.float32)
-    rows = [(i, v.tolist()) for i, v in enumerate(vectors)] + [(200, None), (201, []), (202, [1.0] * 15 + [float("nan")]), (220, [None] * 16), (240, [0.1] * 5), (None, [0.1] * 16), (20, [0.1] * 16)]
-    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("block", F.lit(1))
-    usable = [(i, np.floor(64 * np.array(v, np.float32).astype(float))) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all()]
+def top_k_brute(rows, k=20, step=20):
+    usable = [(i, [int(np.floor(64 * float(x))) for x in v]) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all()]
     want = Counter()
     for a, (q, x) in enumerate(usable):
-        if q % 20 == 0:
-            scored = sorted((-int(x @ y), i) for b, (i, y) in enumerate(usable) if b != a and len(y) == len(x))[:20]
+        if q % step == 0:
+            dots = ((sum(p * r for p, r in zip(x, y, strict=True)), i) for b, (i, y) in enumerate(usable) if b != a and len(y) == len(x))
+            scored = sorted((-max(-(2**63) + 1, min(2**63 - 1, s)), i) for s, i in dots)[:k]
             want.update((q, r, i, -s) for r, (s, i) in enumerate(scored, 1))
+    return want
+
+
+def vector_rows():
+    rng = np.random.default_rng(6)
+    vectors = np.concatenate([rng.normal(0, 0.2, (150, 16)), np.tile(rng.normal(0, 0.2, (1, 16)), (40, 1))]).astype(np.float32)
+    rows = [(i, v.tolist()) for i, v in enumerate(vectors)] + [(200, None), (201, []), (202, [1.0] * 15 + [float("nan")]), (220, [None] * 16), (240, [0.1] * 5), (None, [0.1] * 16), (20, [0.1] * 16)]
+    # Rows that repeat a vec_id with the same vector, and one with far too large components.
+    return rows + [(0, vectors[0].tolist()), (160, vectors[170].tolist()), (260, [2.0**60, -(2.0**59), 3.0]), (261, [2.0**60, 1.0, 2.0]), (262, [-(2.0**55), 0.0, 0.25])]
+
+
+@pytest.mark.parametrize("sizes", [None, (16, 4, 32, 20)])
+def test_top_k_is_brute_force(spark, monkeypatch, sizes):
+    if sizes:
+        for name, n in zip(("BLOCK", "QUERY_BLOCK", "SPAN", "MOST_HELD"), sizes, strict=True):
+            monkeypatch.setattr(vafile, name, n)
+    rows = vector_rows()
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumn("block", F.lit(1)).withColumn("dim", F.lit(1))
     got = Counter(tuple(r) for r in vafile.top_k(table).select("query_id", "rank", "vec_id", "score").collect())
-    assert got == want
+    assert got == top_k_brute(rows)
     assert vafile.top_k(table.limit(0)).collect() == []
 
 
+def test_bounds_hold_the_scores():
+    rng = np.random.default_rng(9)
+    for vectors in (rng.integers(-30, 30, (900, 8)), rng.integers(-(10**6), 10**6, (900, 8)), np.round(rng.standard_cauchy((900, 8)) * 10**9), np.round(rng.normal(0, 1e20, (900, 8)))):
+        vectors = vectors.astype(np.float64)
+        queries = vectors[::50]
+        least, most = vafile.bounds(queries, *vafile.approximated(vectors))
+        for q, low, high in zip(queries, least, most, strict=True):
+            for score, a, b in zip(vafile.exact(q, vectors), low.tolist(), high.tolist(), strict=True):
+                assert a <= score <= b
+    # Components of few values are told exactly by their cells.
+    assert vafile.bounds(queries[:1] * 0 + 3, *vafile.approximated(rng.integers(-30, 30, (900, 8)).astype(float)))[0].dtype == np.float32
+
+
 # 9 Fingerprints.
 
 
