@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quirework.storage import discard, shared_dir, written
 
-__all__ = ["WORD", "discard", "held_out", "id_parts", "shared_dir", "written"]
+__all__ = ["WORD", "discard", "held_out", "id_parts", "keys_of_partitions", "shared_dir", "written"]
 
 #: A word: a run of anything but the six ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -41,3 +41,27 @@ def id_parts(rows: DataFrame, name: str, rows_per_part: int) -> tuple[Column, in
         return pd.Series(np.where(ids.isna(), len(splits), at), dtype="int32")
 
     return F.pandas_udf(place, "int")(F.col(name)), len(splits) + 1
+
+
+def keys_of_partitions(parts: int) -> list[int]:
+    """For each of so many shuffle partitions the least key (int, not negative) that hash partitioning deals to it.
+
+    Parts numbered from 0 on that are dealt by their numbers fall together by chance; by these keys each gets a task.
+    """
+    found: dict[int, int] = {}
+    start = 0
+    while len(found) < parts:
+        # Murmur3 of an int with seed 42, as the engine partitions by.
+        keys = np.arange(start, start + 16 * parts, dtype=np.uint32)
+        turned = lambda x, by: (x << np.uint32(by)) | (x >> np.uint32(32 - by))
+        h = np.uint32(42) ^ (turned(keys * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593))
+        h = turned(h, 13) * np.uint32(5) + np.uint32(0xE6546B64)
+        h ^= np.uint32(4)
+        h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+        h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+        h ^= h >> np.uint32(16)
+        at, first = np.unique(h.view(np.int32).astype(np.int64) % parts, return_index=True)
+        for k, i in zip(at.tolist(), first.tolist(), strict=True):
+            found.setdefault(k, start + i)
+        start += len(keys)
+    return [found[k] for k in range(parts)]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from hashlib import blake2b, sha256
@@ -12,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quirework.llm.common import id_parts
+from quirework.llm.common import id_parts, keys_of_partitions
 
 #: Leaves are paragraphs. A paragraph is cut where a blank follows bytes whose hash is a multiple of this: every few words,
 #: wherever in the text they stand. The first bytes of a text are cut finer, so that a short text has leaves too.
@@ -25,7 +26,9 @@ SECTION, SECTION_MOST = 16, 64
 #: Bytes of the hash of the root, of a section and of a leaf.
 ROOT, BRANCH, LEAF = 16, 6, 4
 #: Documents that one part pairs with their successors, about.
-ROWS_PER_TASK = 4_000
+ROWS_PER_TASK = 2_000
+#: Characters of fingerprints that a task holds before it gives them away.
+MOST_HELD = 4_000_000
 
 _BLANKS = np.zeros(256, bool)
 _BLANKS[[9, 10, 11, 12, 13, 32]] = True
@@ -56,59 +59,86 @@ def _split(stretch: bytes, at: int) -> list[int]:
     return [*ends, at + len(stretch)]
 
 
-def _ends(text: bytes) -> list[int]:
-    """Where the paragraphs of a text end: after a newline, after blanks that the bytes before choose, and as _split has it."""
+def _ends(text: bytes, start: int = 0) -> tuple[list[int], np.ndarray]:
+    """Where the paragraphs of a text end from a byte on that ends one or is 0: after a newline, after blanks that the
+    bytes before choose, and as _split has it; and apart from them the ends of the first two kinds, which only the few
+    bytes before them decide."""
     b = np.frombuffer(text, np.uint8)
-    blank = np.flatnonzero(_BLANKS[b])
+    blank = np.flatnonzero(_BLANKS[b[start:]]) + start
     before = np.zeros(len(blank), np.uint32)
     for back in (1, 2, 3, 4):
         before = before * np.uint32(257) + np.where(blank >= back, b[np.maximum(blank - back, 0)], 0).astype(np.uint32)
     chosen = ((before * _MIX) >> np.uint32(16)) % np.where(blank < FINE_BYTES, FINE, CUT).astype(np.uint32) == 0
-    ends = blank[chosen | (b[blank] == 10)] + 1
-    ends = np.array([*ends.tolist(), *([len(b)] if not len(ends) or ends[-1] != len(b) else [])] if len(b) else [], np.int64)
-    starts = np.concatenate(([0], ends))[:-1]
+    firm = blank[chosen | (b[blank] == 10)] + 1
+    ends = firm if start >= len(b) or (len(firm) and firm[-1] == len(b)) else np.append(firm, len(b))
+    starts = np.concatenate(([start], ends))[:-1]
     long = np.flatnonzero(ends - starts > np.where(starts < FINE_BYTES, FINE_MOST, MOST))
     if not len(long):
-        return ends.tolist()
+        return ends.tolist(), firm
     out, done = [], 0
     for i in long.tolist():
         out += ends[done:i].tolist()
         out += _split(text[starts[i] : ends[i]], int(starts[i]))
         done = i + 1
-    return out + ends[done:].tolist()
+    return out + ends[done:].tolist(), firm
 
 
-def tree(text: bytes) -> list[list[tuple[bytes, int]]]:
-    """The sections of a text, each the hashes of its paragraphs and their bytes."""
-    sections: list[list[tuple[bytes, int]]] = []
-    own: list[tuple[bytes, int]] = []
-    start = 0
-    for end in _ends(text):
-        leaf = blake2b(text[start:end], digest_size=LEAF, person=b"paragraph").digest()
-        own.append((leaf, end - start))
+def _leaves(text: bytes, start: int, ends: list[int]) -> list[tuple[bytes, int]]:
+    """The hashes of paragraphs and their bytes."""
+    leaves = []
+    for end in ends:
+        leaves.append((blake2b(text[start:end], digest_size=LEAF, person=b"paragraph").digest(), end - start))
         start = end
-        if leaf[0] % SECTION == 0 or len(own) == SECTION_MOST:
-            sections.append(own)
-            own = []
-    return [*sections, own] if own else sections
-
-
-def encode(sections: list[list[tuple[bytes, int]]], whole: bytes) -> str:
-    """A fingerprint: root, then per section its hash and its leaves with their sizes, as hex with marks between.
-
-    The root hashes the sections' hashes and the whole text's: it alone decides equality.
-    """
-    parts, branches = [], [sha256(whole).digest()]
-    for own in sections:
-        leaves = [leaf for leaf, _ in own]
-        branches.append(blake2b(b"".join(leaves), digest_size=BRANCH, person=b"section").digest())
-        parts.append(branches[-1].hex() + "".join(f"-{leaf.hex()}{n:x}" for leaf, n in own))
-    return ":".join([blake2b(b"".join(branches), digest_size=ROOT, person=b"root").hexdigest(), *parts])
+    return leaves
+
+
+def _sections(leaves: list[tuple[bytes, int]]) -> list[list[tuple[bytes, int]]]:
+    sections, start = [], 0
+    for i, (leaf, _) in enumerate(leaves, 1):
+        if leaf[0] % SECTION == 0 or i - start == SECTION_MOST:
+            sections.append(leaves[start:i])
+            start = i
+    return [*sections, leaves[start:]] if start < len(leaves) else sections
+
+
+class Tree:
+    """The Merkle tree of a text: sections (hash, [(leaf, bytes)]) under a root that hashes theirs and the whole text's."""
+
+    def __init__(self, text: bytes, like: Tree | None = None):
+        """like: the tree of a text that starts alike, if there is one; what both have is not hashed again."""
+        kept, at = [], 0
+        if like is not None:
+            same = _common(text, like.text)
+            if i := int(np.searchsorted(like.firm, same, "right")):
+                at = int(like.firm[i - 1])
+                kept = like.leaves[: bisect_right(like.ends, at)]
+        ends, firm = _ends(text, at)
+        self.text = text
+        self.ends = [*like.ends[: len(kept)], *ends] if kept else ends
+        self.firm = np.concatenate([like.firm[:i], firm]) if kept else firm
+        self.leaves = kept + _leaves(text, at, ends)
+        self.sections = []
+        for own in _sections(self.leaves):
+            self.sections.append((blake2b(b"".join([leaf for leaf, _ in own]), digest_size=BRANCH, person=b"section").hexdigest(), own))
+        whole = sha256(text).digest()
+        self.root = blake2b(b"".join([whole, *(bytes.fromhex(h) for h, _ in self.sections)]), digest_size=ROOT, person=b"root").hexdigest()
+
+    def encode(self) -> str:
+        """The fingerprint: root, then per section its hash and its leaves with their sizes, as hex with marks between."""
+        return ":".join([self.root, *(h + "".join([f"-{leaf.hex()}{n:x}" for leaf, n in own]) for h, own in self.sections)])
+
+
+def _common(a: bytes, b: bytes) -> int:
+    """How many bytes two texts have in common at their start."""
+    n = min(len(a), len(b))
+    if a[:n] == b[:n]:
+        return n
+    differ = np.flatnonzero(np.frombuffer(a, np.uint8, n) != np.frombuffer(b, np.uint8, n))
+    return int(differ[0])
 
 
 def fingerprint(text: str | None) -> str:
-    whole = (text or "").encode("utf-8", "surrogatepass")
-    return encode(tree(whole), whole)
+    return Tree((text or "").encode("utf-8", "surrogatepass")).encode()
 
 
 def decode(fp: str) -> tuple[str, list[tuple[str, list[tuple[str, int]]]]]:
@@ -122,20 +152,15 @@ def decode(fp: str) -> tuple[str, list[tuple[str, list[tuple[str, int]]]]]:
     return root, out
 
 
-def likeness(a: str, b: str) -> float:
-    """1 for equal roots; else twice the bytes of common leaves over the bytes of both, below 1. Two fingerprints alone decide it.
-
-    Equal sections are set off whole; only leaves of the others are compared.
-    """
-    if a.partition(":")[0] == b.partition(":")[0]:
+def _alike(a: str, left: list[tuple[str, list]], b: str, right: list[tuple[str, list]]) -> float:
+    if a == b:
         return 1.0
-    (_, left), (_, right) = decode(a), decode(b)
     total = sum(n for side in (left, right) for _, leaves in side for _, n in leaves)
     weight = {branch: sum(n for _, n in leaves) for side in (left, right) for branch, leaves in side}
     same = Counter(s for s, _ in left) & Counter(s for s, _ in right)
     common = sum(weight[s] * n for s, n in same.items())
 
-    def rest(side: list[tuple[str, list[tuple[str, int]]]]) -> Counter:
+    def rest(side: list[tuple[str, list]]) -> Counter:
         gone, found = Counter(same), Counter()
         for branch, leaves in side:
             if gone[branch]:
@@ -148,6 +173,14 @@ def likeness(a: str, b: str) -> float:
     return min(2 * common / total, 1 - 1e-9) if total else 0.0
 
 
+def likeness(a: str, b: str) -> float:
+    """1 for equal roots; else twice the bytes of common leaves over the bytes of both, below 1. Two fingerprints alone decide it.
+
+    Equal sections are set off whole; only leaves of the others are compared.
+    """
+    return _alike(*decode(a), *decode(b))
+
+
 def edits(a: str, b: str) -> list[tuple[int, int]]:
     """Byte ranges (start, end) of the text of a, merged, that no branch of b has in the same order: where it was edited.
 
@@ -192,9 +225,11 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
 
 def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows in order of part, and within a part of id: each with what its text becomes by the row after it."""
-    held: tuple[int, int | None, str, str] | None = None
+    """Rows in order of part, and within a part of id: each with what its text becomes by the row after it. One text and its
+    successor are held at a time, and results up to some bytes."""
+    held: tuple[int, int | None, str, Tree] | None = None
     columns: list[list] = [[] for _ in range(7)]
+    size = 0
 
     def out() -> pa.RecordBatch:
         kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64())
@@ -204,19 +239,24 @@ def _compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return made
 
     for batch in batches:
-        for part, doc_id, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+        for i in range(batch.num_rows):
+            part, doc_id, text = (batch.column(c)[i].as_py() for c in range(3))
             text = text or ""
-            fp = fingerprint(text)
+            tree = Tree(text.encode("utf-8", "surrogatepass"))
             if held is not None and held[0] == part:
-                own = held[3]
-                now = edited(held[2], text)
-                changed = fingerprint(now) if now != held[2] else own
-                values = (held[1], len(held[2]), sha256(now.encode("utf-8", "surrogatepass")).hexdigest(), own, changed, likeness(own, changed), likeness(own, fp))
+                _, own_id, before, own = held
+                now = edited(before, text).encode("utf-8", "surrogatepass")
+                changed = Tree(now, own) if now != own.text else own
+                fp = own.encode()
+                changed_fp = changed.encode() if changed is not own else fp
+                values = (own_id, len(before), sha256(now).hexdigest(), fp, changed_fp, _alike(own.root, own.sections, changed.root, changed.sections), _alike(own.root, own.sections, tree.root, tree.sections))
                 for c, v in zip(columns, values, strict=True):
                     c.append(v)
-            held = (part, doc_id, text, fp)
-        if len(columns[0]) >= 256:
-            yield out()
+                size += len(fp) + len(changed_fp)
+                if size > MOST_HELD:
+                    yield out()
+                    size = 0
+            held = (part, doc_id, text, tree)
     yield out()
 
 
@@ -244,8 +284,10 @@ def compare_successors(docs: DataFrame) -> DataFrame:
     least = least.groupBy(F.col("before").alias("part")).agg(F.min_by(F.struct("doc_id", F.coalesce("text", F.lit("")).alias("text")), F.coalesce("text", F.lit(""))).alias("row"))
     tails = least.select("row.doc_id", "row.text", "part", F.lit(True).alias("tail"))
     whole = dealt.select("doc_id", "text", "part", F.lit(False).alias("tail")).unionByName(tails)
-    order = [F.col("part"), F.col("tail"), F.col("doc_id").asc_nulls_last(), F.coalesce("text", F.lit(""))]
-    sorted_rows = whole.repartition(parts, "part").sortWithinPartitions(*order)
+    # Null texts are empty ones: which of them is first among ties is all the same.
+    order = ["part", "tail", F.col("doc_id").asc_nulls_last(), F.col("text").asc_nulls_first()]
+    keys = F.element_at(F.array(*[F.lit(k) for k in keys_of_partitions(parts)]), F.col("part") + 1) if parts <= 4_096 else F.col("part")
+    sorted_rows = whole.repartition(parts, keys).sortWithinPartitions(*order)
     return sorted_rows.select("part", "doc_id", "text").mapInArrow(_compared, _KINDS)
 
 
