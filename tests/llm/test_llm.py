@@ -447,18 +447,62 @@ def test_bounds_hold_the_scores():
 # 9 Fingerprints.
 
 
+def likeness_brute(a, b):
+    """By the strings of two fingerprints: the bytes of leaves in common, sections set off first."""
+    if a.split(":")[0] == b.split(":")[0]:
+        return 1.0
+    sides = []
+    for fp in (a, b):
+        sections = [s.split("-") for s in fp.split(":")[1:]]
+        sides.append([(h, [(x[:8], int(x[8:], 16)) for x in leaves]) for h, *leaves in sections])
+    total = sum(n for side in sides for _, leaves in side for _, n in leaves)
+    common, rest = 0, [list(side) for side in sides]
+    for h, leaves in sides[0]:
+        if (other := next((s for s in rest[1] if s[0] == h), None)) is not None:
+            common += sum(n for _, n in leaves)
+            rest[0].remove((h, leaves))
+            rest[1].remove(other)
+    left, right = ([x for _, leaves in side for x in leaves] for side in rest)
+    for x in left:
+        if x in right:
+            right.remove(x)
+            common += x[1]
+    return min(2 * common / total, 1 - 1e-9) if total else 0.0
+
+
 def test_successors_are_brute_force(docs):
     rows = sorted((r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect())
     got = {r["doc_id"]: r for r in merkle.compare_successors(docs).collect()}
     assert len(got) == len(rows)
+    fps = {d: merkle.fingerprint(t) for d, t in rows}
     for i, (d, text) in enumerate(rows):
-        after = rows[(i + 1) % len(rows)][1]
+        next_id, after = rows[(i + 1) % len(rows)]
         n = len(text) // 4
         now = text[: len(text) - n] + after[:n]
         r = got[d]
         assert (r["n_chars"], r["edited_sha256"]) == (len(text), hashlib.sha256(now.encode()).hexdigest())
-        assert r["fingerprint"] == merkle.fingerprint(text) and r["edited_fingerprint"] == merkle.fingerprint(now)
-        assert (r["near_edited"] == 1) == (now == text) and 0 <= r["near_next"] <= 1
+        assert r["fingerprint"] == fps[d] and r["edited_fingerprint"] == merkle.fingerprint(now)
+        if i % 5 == 0:
+            assert r["near_edited"] == pytest.approx(likeness_brute(r["fingerprint"], r["edited_fingerprint"]))
+            assert r["near_next"] == pytest.approx(likeness_brute(r["fingerprint"], fps[next_id]))
+
+
+def test_trees_from_others_are_those_from_scratch():
+    rng = random.Random(10)
+    for _ in range(300):
+        letters = rng.choice(("ab \n", "abcdefgh  ", "的一是不 ", "x", "a b"))
+        text = "".join(rng.choices(letters, k=rng.randrange(0, 3000)))
+        now = text[: rng.randrange(0, len(text) + 1)] + "".join(rng.choices(letters, k=rng.randrange(0, 500)))
+        own = merkle.Tree(text.encode())
+        fresh, made = merkle.Tree(now.encode()), merkle.Tree(now.encode(), own)
+        assert made.encode() == fresh.encode() and made.ends == fresh.ends and made.firm.tolist() == fresh.firm.tolist()
+
+
+def test_keys_spread_over_partitions(spark):
+    for parts in (1, 7, 211):
+        keys = merkle.keys_of_partitions(parts)
+        rows = spark.createDataFrame([(k,) for k in keys], "k int").select(F.pmod(F.hash("k"), F.lit(parts)).alias("p")).collect()
+        assert [r["p"] for r in rows] == list(range(parts))
 
 
 def test_fingerprints_locate_edits():
@@ -478,7 +522,7 @@ def test_fingerprints_without_blanks_and_of_repeated_phrases():
     texts += ["".join(rng.choices(letters, k=n)) for letters in ("的一是不了人我在有他", "กขคงจฉชซ", 'ab0:,"{}', "01", "𝒜𝒷\ud800é") for n in (200, 30_000)]
     for text in texts:
         whole = text.encode("utf-8", "surrogatepass")
-        leaves, at = [n for own in merkle.tree(whole) for _, n in own], 0
+        leaves, at = [n for _, n in merkle.Tree(whole).leaves], 0
         for n in leaves:
             assert 0 < len(whole[at : at + n].decode("utf-8", "surrogatepass")) <= (32 if at < 512 else 128)
             at += n
@@ -496,7 +540,13 @@ def test_fingerprints_without_blanks_and_of_repeated_phrases():
 def test_successors_of_odd_and_empty_tables(odd, empty, monkeypatch):
     monkeypatch.setattr(merkle, "ROWS_PER_TASK", 3)
     got = rows_of(merkle.compare_successors(odd))
-    assert Counter(r["doc_id"] for r in got) == Counter(r["doc_id"] for r in odd.collect())
+    rows = sorted(((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "") for r in odd.collect()))
+    want = Counter()
+    for i, (no_id, d, text) in enumerate(rows):
+        n = len(text) // 4
+        now = text[: len(text) - n] + rows[(i + 1) % len(rows)][2][:n]
+        want[None if no_id else d, len(text), hashlib.sha256(now.encode()).hexdigest(), merkle.fingerprint(text), merkle.fingerprint(now)] += 1
+    assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"], r["fingerprint"], r["edited_fingerprint"]) for r in got) == want
     assert merkle.compare_successors(empty).collect() == []
 
 
