@@ -2,52 +2,59 @@
 
 from __future__ import annotations
 
-import gzip
 import io
-import os
+import uuid
 import zlib
 from collections.abc import Iterator
 from contextlib import suppress
+from hashlib import sha256
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quirework.llm.common import id_parts, written
+from quirework.llm.common import remove, shared_dir, written
 
 #: Bytes of an offset range, the lowest node above records, and the nodes that one above has as children.
 RANGE, FAN = 1 << 20, 16
-#: Records whose offsets one window sums.
-ROWS_PER_PART = 20_000
 
 #: Packed bytes that are unpacked at once, and those from which a member is known to start a record.
 SLICE, HEAD = 1 << 14, 1 << 10
 
-_RECORD = "file string, offset long, length long, warc_type string, url string, date string, content_type string, payload binary, complete boolean"
+#: Records and bytes of payload that a batch of rows has at most, but for one record.
+BATCH_ROWS, BATCH_BYTES = 1_024, 16 << 20
+
+_RECORD = "file string, offset long, length long, record_id string, warc_type string, url string, date string, content_type string, sha256 string, payload binary, complete boolean"
 
 
 # Reading and writing records.
 
 
-def record(url: Column, body: Column) -> Column:
-    """The text of a WARC 1.0 resource record of a page; nulls are empty. Line ends of url can't forge headers."""
-    url = F.regexp_replace(F.coalesce(url, F.lit("")), r"[\r\n]+", " ")
-    body = F.coalesce(body, F.lit(""))
-    digest = F.sha2(body.cast("binary"), 256)
-    lines = ["WARC/1.0\r\nWARC-Type: resource\r\nWARC-Target-URI: ", url, "\r\nWARC-Payload-Digest: sha256:", digest, "\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: ", F.octet_length(body).cast("string"), "\r\n\r\n", body, "\r\n\r\n"]
+def record(page_id: Column, url: Column, body: Column) -> Column:
+    """The text of a WARC 1.0 resource record of a page, without the two line ends that follow it; nulls are empty.
+
+    Its id is of the page's id and of what the page says, so it stays readable where the body is damaged. Line ends of
+    url can't forge headers.
+    """
+    page, url, body = F.coalesce(page_id.cast("string"), F.lit("")), F.regexp_replace(F.coalesce(url, F.lit("")), r"[\r\n]+", " "), F.coalesce(body, F.lit(""))
+    lines = [
+        "WARC/1.0\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:page:", page, ":", F.sha2(F.concat(url, F.lit("\n"), body).cast("binary"), 256), ">\r\nWARC-Target-URI: ", url,
+        "\r\nWARC-Payload-Digest: sha256:", F.sha2(body.cast("binary"), 256), "\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: ", F.octet_length(body).cast("string"), "\r\n\r\n", body,
+    ]
     return F.concat(*[F.lit(x) if isinstance(x, str) else x for x in lines])
 
 
-def parse(stream: io.BufferedIOBase, at: int = 0) -> Iterator[tuple[int, int, dict[str, str], bytes, bool]]:
-    """(offset, length, headers with lower-case names, payload, complete) of each record; what is not a record is passed over line by line."""
+def parse(stream: io.BufferedIOBase, at: int = 0) -> Iterator[tuple[int, int, dict[str, str], bytes, bool, str]]:
+    """(offset, length, headers with lower-case names, payload, complete, SHA-256 of head and payload) of each record; what is not a record is passed over line by line."""
     while line := stream.readline():
         start, size = at, len(line)
         at += size
         if not line.startswith(b"WARC/"):
             continue
-        headers, ended = {}, False
+        headers, ended, digest = {}, False, sha256(line)
         while raw := stream.readline():
             at += len(raw)
+            digest.update(raw)
             if not raw.strip():
                 ended = True
                 break
@@ -56,7 +63,8 @@ def parse(stream: io.BufferedIOBase, at: int = 0) -> Iterator[tuple[int, int, di
         wanted = int(headers["content-length"]) if headers.get("content-length", "").isdigit() else 0
         payload = stream.read(wanted)
         at += len(payload)
-        yield start, at - start, headers, payload, ended and len(payload) == wanted
+        digest.update(payload)
+        yield start, at - start, headers, payload, ended and len(payload) == wanted, digest.hexdigest()
 
 
 def _unpacked(content: bytes, at: int, most: int | None = None) -> tuple[bytes, int, bool]:
@@ -86,7 +94,7 @@ def _next_member(content: bytes, at: int) -> int | None:
     return None
 
 
-def parse_file(content: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes, bool]]:
+def parse_file(content: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes, bool, str]]:
     """As parse, for a whole file, plain or of gzip members; offsets and lengths of members are those in the file.
 
     The records of a damaged or truncated member come with complete false, or one without headers if none can be
@@ -108,77 +116,63 @@ def parse_file(content: bytes) -> Iterator[tuple[int, int, dict[str, str], bytes
                 at = end
                 continue
         found = False
-        for _, _, headers, payload, complete in parse(io.BytesIO(data)):
+        for _, _, headers, payload, complete, digest in parse(io.BytesIO(data)):
             found = True
-            yield at, end - at, headers, payload, complete and whole
+            yield at, end - at, headers, payload, complete and whole, digest
         if not found and not whole:
-            yield at, end - at, {}, data, False
+            yield at, end - at, {}, data, False, sha256(data).hexdigest()
         at = end
 
 
-def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for path, content in zip(batch.column(0), batch.column(1), strict=True):
-            rows = [(path.as_py(), o, n, h.get("warc-type"), h.get("warc-target-uri"), h.get("warc-date"), h.get("content-type"), p, ok) for o, n, h, p, ok in parse_file(content.as_py() or b"")]
-            columns = list(zip(*rows, strict=True)) or [()] * 9
-            kinds = (pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string(), pa.binary(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["file", "offset", "length", "warc_type", "url", "date", "content_type", "payload", "complete"])
+def _parsed(with_payload: bool):
+    """Files to rows of records, in batches of bounded size."""
+    names = [c.split()[0] for c in _RECORD.split(", ")]
+    kinds = [pa.string(), pa.int64(), pa.int64(), *[pa.string()] * 6, pa.binary(), pa.bool_()]
 
+    def out(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The records of WARC files (.warc or .warc.gz, under 2 GB each) at a path or glob, a row a record.
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                path, rows, size = batch.column(0)[i].as_py(), [], 0
+                for o, n, h, payload, ok, digest in parse_file(batch.column(1)[i].as_py() or b""):
+                    rows.append((path, o, n, h.get("warc-record-id"), h.get("warc-type"), h.get("warc-target-uri"), h.get("warc-date"), h.get("content-type"), digest, payload if with_payload else None, ok))
+                    size += len(payload)
+                    if len(rows) >= BATCH_ROWS or with_payload and size > BATCH_BYTES:
+                        yield out(rows)
+                        rows, size = [], 0
+                if rows:
+                    yield out(rows)
 
-    Truncated and damaged records come with what there is of them and complete = false, and intact ones after them as
-    they are; a file without records gives no rows.
-    """
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_parsed, _RECORD)
+    return run
 
 
-def write_warc(pages: DataFrame, folder: str, compress: bool = True) -> DataFrame:
-    """Write pages (url, html) as one WARC file a partition into a folder that executors mount; a row a file: file, records, bytes.
+def read_warc(spark: SparkSession, path: str, payload: bool = True) -> DataFrame:
+    """The records of WARC files (plain or gzip members, under 2 GB each) at a path or glob, a row a record.
 
-    A file appears under its name only when whole, so a task that runs again replaces its own file.
+    Truncated and damaged records come with what there is of them and complete = false, and intact ones after them as
+    they are; a file without records gives no rows. Without payload, that column is null and only hashes leave the task
+    that reads a file. Returns file, offset, length, record_id, warc_type, url, date, content_type, sha256 (of head and
+    payload), payload, complete; headers that a record lacks are null.
     """
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(_parsed(payload), _RECORD)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
 
-        os.makedirs(folder, exist_ok=True)
-        context = TaskContext.get()
-        name = f"{folder}/part-{context.partitionId():06d}.warc" + ".gz" * compress
-        partial, n = f"{name}.{context.taskAttemptId()}.partial", 0
-        with open(partial, "wb") as out:
-            for batch in batches:
-                for r in batch.column(0):
-                    raw = r.as_py().encode()
-                    out.write(gzip.compress(raw, mtime=0) if compress else raw)
-                    n += 1
-        size = os.path.getsize(partial)
-        os.replace(partial, name)
-        yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([n], pa.int64()), pa.array([size], pa.int64())], ["file", "records", "bytes"])
+def write_warc(records: DataFrame, folder: str, compress: bool = False) -> None:
+    """Write the text of records (column record, as record() makes it) as WARC files into a new folder.
 
-    return pages.select(record(F.col("url"), F.col("html")).alias("record")).mapInArrow(run, "file string, records long, bytes long")
+    The engine's own writer does it, so any store that the cluster reaches will do, each task writes the rows that it
+    has, and the files of a task that is lost are written again. A record ends with two line ends, as the format has it:
+    the text's own and the writer's. A file has 4,000 records at most; with compress, each file is one gzip member.
+    """
+    out = records.select(F.concat(F.col("record"), F.lit("\r\n")).alias("value")).write.option("lineSep", "\r\n").option("maxRecordsPerFile", 4_000)
+    out.text(folder, compression="gzip" if compress else "none")
 
 
 # Fixity.
 
 
-def with_offsets(digests: DataFrame, key: str) -> DataFrame:
-    """digests (key, sha256, length, ...) with the offset of each record in an archive ordered by key (null last) and sha256.
-
-    Prefix sums go by ranges of the key: inside a range a window sums, and the ranges' totals are summed before. Keys
-    are meant to be near unique; all rows of one key are in one range.
-    """
-    part, _ = id_parts(digests, key, ROWS_PER_PART)
-    rows = written(digests.withColumn("part", part), "warc-digests")
-    totals = rows.groupBy("part").agg(F.sum("length").alias("bytes"))
-    before = F.sum("bytes").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, 0)) - F.col("bytes")
-    totals = totals.select(F.col("part").alias("t_part"), before.alias("before"))
-    upto = F.sum("length").over(Window.partitionBy("part").orderBy(F.col(key).asc_nulls_last(), "sha256").rowsBetween(Window.unboundedPreceding, 0))
-    rows = rows.withColumn("upto", upto).join(totals, F.col("part") == F.col("t_part"))
-    return rows.withColumn("offset", (F.col("before") + F.col("upto") - F.col("length")).cast("long")).drop("part", "t_part", "upto", "before")
-
-
 def _node(rows: DataFrame, at: Column) -> DataFrame:
     """A level of a tree: node, and the hash over its children in the order of their offsets."""
     grouped = rows.groupBy(at.cast("long").alias("node")).agg(F.array_sort(F.collect_list(F.struct("at", "hash"))).alias("children"))
@@ -241,32 +235,69 @@ def audit(records: DataFrame, replica: DataFrame) -> DataFrame:
     return records.join(bad, F.col("offset") == F.col("node"), "left").drop("node").withColumn("status", F.coalesce("found", F.lit("ok"))).drop("found")
 
 
+def manifest(records: DataFrame) -> DataFrame:
+    """record_id, offset, length, sha256 of an archive's records (as read_warc gives them), each id once.
+
+    Offsets are over all files in the order of their names: a small table of their sizes is summed, a row a file.
+    Records that repeat an id count as one at the first place: sha256 then is of the least and greatest of their hashes
+    and of their number. Rows without a record id have no place here.
+    """
+    sizes = records.groupBy("file").agg(F.max(F.col("offset") + F.col("length")).alias("bytes"))
+    before = F.sum("bytes").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, 0)) - F.col("bytes")
+    sizes = sizes.select(F.col("file").alias("s_file"), before.alias("before"))
+    placed = records.filter("record_id is not null").join(sizes, F.col("file") == F.col("s_file")).withColumn("at", F.col("before") + F.col("offset"))
+    least, most, n = F.min("sha256"), F.max("sha256"), F.count("*")
+    digest = F.when(n == 1, least).otherwise(F.sha2(F.concat_ws(":", least, most, n.cast("string")), 256))
+    return placed.groupBy("record_id").agg(F.min("at").cast("long").alias("offset"), F.min_by("length", "at").alias("length"), F.min_by("sha256", "at").alias("record_sha256"), digest.alias("sha256"), n.alias("copies"))
+
+
+def audit_archives(original: DataFrame, replica: DataFrame) -> DataFrame:
+    """The records of an archive with their status in a replica of it, whose files may be cut otherwise.
+
+    original, replica: as read_warc gives them. A replica's records stand at the offsets that the original's manifest
+    has for their ids, so one that is lost moves no other; the trees over both are then compared from their roots down.
+    Returns record_id, offset, length, record_sha256, copies, status (ok, corrupt, missing; extra for ids that only the
+    replica has, with its own values and no offset). Empty archives give no rows.
+    """
+    own = written(manifest(original), "warc-manifest")
+    there = written(manifest(replica).select(F.col("record_id").alias("r_id"), F.col("length").alias("r_length"), F.col("record_sha256").alias("r_record"), F.col("sha256").alias("r_sha256"), F.col("copies").alias("r_copies")), "warc-replica")
+    placed = there.join(own.select("record_id", "offset"), F.col("r_id") == F.col("record_id"), "left")
+    found = audit(own, placed.filter("offset is not null").select("offset", F.col("r_sha256").alias("sha256"))).drop("sha256")
+    extra = placed.filter("offset is null").select(F.col("r_id").alias("record_id"), "offset", F.col("r_length").alias("length"), F.col("r_record").alias("record_sha256"), F.col("r_copies").alias("copies"), F.lit("extra").alias("status"))
+    return found.unionByName(extra)
+
+
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages as WARC records, against a replica in which records whose md5(page_id) starts with 07 have a byte changed and
-    those with 0a are lost. Pages that repeat wholly are one record."""
+    """Pages are written as WARC files, twice: in the replica, records whose md5(page_id) starts with 07 have the last
+    character of their body changed (of their head, where the body is empty) and those with 0a are lost. Both archives
+    are read back and audited. Pages that repeat wholly are one record; null ids, urls and bodies are empty in a record
+    and null ids come out null. An empty table gives no rows."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    raw = record(F.col("url"), F.col("html"))
+    raw = record(F.col("page_id"), F.col("url"), F.col("html"))
     mark = F.substring(F.md5(F.coalesce(F.col("page_id").cast("string"), F.lit("")).cast("binary")), 1, 2)
-    damaged = F.concat(raw.substr(F.lit(1), F.length(raw) - 5), F.lit("?"), raw.substr(F.length(raw) - 3, F.lit(4)))
-    copy = F.when(mark == "07", F.sha2(damaged.cast("binary"), 256)).when(mark != "0a", F.sha2(raw.cast("binary"), 256))
-    digests = pages.select("page_id", F.sha2(raw.cast("binary"), 256).alias("sha256"), F.octet_length(raw).cast("long").alias("length"), copy.alias("replica"))
-    digests = digests.groupBy("page_id", "sha256").agg(F.first("length").alias("length"), F.first("replica").alias("replica"))
-    records = written(with_offsets(digests, "page_id"), "warc-records")
-    replica = records.filter(F.col("replica").isNotNull()).select("offset", F.col("replica").alias("sha256"))
-    return audit(records.drop("replica"), replica).select("page_id", "offset", "length", F.col("sha256").alias("record_sha256"), "status")
+    damaged = F.concat(raw.substr(F.lit(1), F.length(raw) - 1), F.when(F.endswith(raw, F.lit("?")), "!").otherwise("?"))
+    hashes = []
+    for name, records in (("original", pages.select(raw.alias("record"))), ("replica", pages.filter(mark != "0a").select(F.when(mark == "07", damaged).otherwise(raw).alias("record")))):
+        folder = f"{shared_dir(spark)}/warc-{name}-{uuid.uuid4().hex}"
+        write_warc(records, folder)
+        hashes.append(written(read_warc(spark, folder, payload=False).select("file", "offset", "length", "record_id", "sha256"), f"warc-{name}-hashes"))
+        remove(spark, folder)
+    found = audit_archives(*hashes)
+    page = F.regexp_extract("record_id", "^<urn:page:([^:]*):", 1)
+    return found.select(F.when(page != "", page).cast("long").alias("page_id"), "length", "record_sha256", "copies", "status")
 
 
 OP5_SQL = r"""
 WITH raw AS (
-  SELECT page_id, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Target-URI: '
-         || regexp_replace(coalesce(url, ''), '[\r\n]+', ' ', 'g') || chr(13) || chr(10) || 'WARC-Payload-Digest: sha256:'
-         || sha256(coalesce(html, '')) || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10)
-         || 'Content-Length: ' || strlen(coalesce(html, '')) || chr(13) || chr(10) || chr(13) || chr(10)
-         || coalesce(html, '') || chr(13) || chr(10) || chr(13) || chr(10) AS record
-  FROM pages),
-records AS (SELECT DISTINCT page_id, sha256(record) AS record_sha256, CAST(strlen(record) AS BIGINT) AS length FROM raw)
-SELECT page_id, record_sha256, length,
-       CAST(sum(length) OVER (ORDER BY page_id NULLS LAST, record_sha256 ROWS UNBOUNDED PRECEDING) - length AS BIGINT) AS "offset",
+  SELECT page_id, regexp_replace(coalesce(url, ''), '[\r\n]+', ' ', 'g') AS url, coalesce(html, '') AS html FROM pages),
+records AS (
+  SELECT page_id, 'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10)
+         || 'WARC-Record-ID: <urn:page:' || coalesce(CAST(page_id AS VARCHAR), '') || ':' || sha256(url || chr(10) || html) || '>' || chr(13) || chr(10)
+         || 'WARC-Target-URI: ' || url || chr(13) || chr(10) || 'WARC-Payload-Digest: sha256:' || sha256(html) || chr(13) || chr(10)
+         || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10) || 'Content-Length: ' || strlen(html) || chr(13) || chr(10)
+         || chr(13) || chr(10) || html AS record
+  FROM raw)
+SELECT page_id, CAST(strlen(record) AS BIGINT) AS length, sha256(record) AS record_sha256, count(*) AS copies,
        CASE substr(md5(coalesce(CAST(page_id AS VARCHAR), '')), 1, 2) WHEN '07' THEN 'corrupt' WHEN '0a' THEN 'missing' ELSE 'ok' END AS status
-FROM records
+FROM records GROUP BY page_id, record
 """
