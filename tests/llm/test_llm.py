@@ -259,14 +259,64 @@ def test_redaction(spark, odd, empty, forest):
 # 5 WARC.
 
 
+def odd_pages(spark):
+    rows = [(1, "http://a/", "<p>a</p>"), (1, "http://a/", "<p>a</p>"), (1, "http://a/", "other?"), (None, "u\r\nWARC/1.0", "x"), (None, None, None), (2, None, "WARC/1.0\r\nContent-Length: 3\r\n\r\nabc"), (3, "é", "ü😀"), (4, "e", ""), (9_000, "l", "long " * 50_000)]
+    # Ids whose records the query damages or loses.
+    marked = [i for i in range(3000) if hashlib.md5(str(i).encode()).hexdigest()[:2] in ("07", "0a")]
+    rows += [(i, "m", "?" * (k % 3) + "é" * (k % 2)) for k, i in enumerate(marked)]
+    return spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("offset", F.lit(1)).withColumn("node", F.lit("x")).withColumn("status", F.lit("s")).withColumn("record", F.lit(0))
+
+
 def test_warc_round_trip(spark, sf, tmp_path):
-    pages = spark.read.parquet(f"{sf}/pages.parquet")
-    want = sorted((r["url"], r["html"].encode()) for r in pages.collect())
-    for compress in (True, False):
-        folder = f"{tmp_path}/{compress}"
-        assert sum(r["records"] for r in warc.write_warc(pages, folder, compress).collect()) == len(want)
-        back = warc.read_warc(spark, f"file://{folder}/*.warc*").collect()
-        assert sorted((r["url"], bytes(r["payload"])) for r in back) == want and all(r["complete"] for r in back)
+    for k, pages in enumerate((spark.read.parquet(f"{sf}/pages.parquet"), odd_pages(spark))):
+        want = sorted((" ".join(x for x in (r["url"] or "").replace("\r", "\n").split("\n") if x) if "\n" in (r["url"] or "") else r["url"] or "", (r["html"] or "").encode()) for r in pages.collect())
+        for compress in (True, False):
+            folder = f"file://{tmp_path}/{k}-{compress}"
+            warc.write_warc(pages.select(warc.record(F.col("page_id"), F.col("url"), F.col("html")).alias("record")), folder, compress)
+            back = warc.read_warc(spark, folder).collect()
+            assert sorted((r["url"], bytes(r["payload"])) for r in back) == want and all(r["complete"] for r in back)
+            assert sorted(r["sha256"] for r in warc.read_warc(spark, folder, payload=False).collect()) == sorted(r["sha256"] for r in back)
+
+
+def test_warc_query_on_odd_and_empty_pages(spark, tmp_path):
+    import duckdb
+
+    pages = odd_pages(spark)
+    for name, table in (("odd", pages), ("none", pages.limit(0))):
+        table.write.parquet(f"{tmp_path}/{name}/pages.parquet")
+        con = duckdb.connect()
+        con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/{name}/pages.parquet/*.parquet'")
+        columns = "page_id, length, record_sha256, copies, status"
+        want = Counter(con.execute(f"SELECT {columns} FROM ({warc.OP5_SQL})").fetchall())
+        got = Counter(tuple(r) for r in warc.op5_warc(spark, f"{tmp_path}/{name}").select(*columns.split(", ")).collect())
+        assert got == want
+    assert {s for *_, s in got} <= {s for *_, s in want}
+
+
+def test_audit_of_archives_that_are_cut_otherwise(spark):
+    kinds = "file string, offset long, length long, record_id string, sha256 string"
+    ids = [f"r{i}" for i in range(500)]
+    original = [(f"f{i // 100}", 1000 * (i % 100), 990, x, f"h{i}") for i, x in enumerate(ids)] + [("f9", 0, 5, "r3", "h3"), ("f9", 7, 5, None, "h")]
+    replica = [("one", 100 * i, 990, x, "bad" if i == 77 else f"h{i}") for i, x in enumerate(reversed(ids)) for i in [499 - i] if i not in (8, 400)] + [("two", 0, 5, "r3", "h3"), ("two", 9, 5, "new", "n")]
+    got = {r["record_id"]: (r["status"], r["copies"]) for r in warc.audit_archives(spark.createDataFrame(original, kinds), spark.createDataFrame(replica, kinds)).collect()}
+    assert {k: v for k, v in got.items() if v != ("ok", 1)} == {"r3": ("ok", 2), "r77": ("corrupt", 1), "r8": ("missing", 1), "r400": ("missing", 1), "new": ("extra", 1)}
+    # A copy that is lost, and one that is damaged.
+    for other in (replica[:-2], [*replica[:-2], ("two", 0, 5, "r3", "x")]):
+        found = warc.audit_archives(spark.createDataFrame(original, kinds), spark.createDataFrame(other, kinds))
+        assert [r["status"] for r in found.filter("record_id = 'r3'").collect()] == ["corrupt"]
+
+
+def test_parsing_is_linear():
+    import time
+
+    def took(n):
+        member = gzip.compress(b"WARC/1.0\r\nContent-Length: 1000\r\n\r\n" + random.Random(1).randbytes(1000) + b"\r\n\r\n")
+        began = time.perf_counter()
+        assert sum(1 for _ in warc.parse_file(member * n)) == n
+        return time.perf_counter() - began
+
+    took(500)
+    assert took(16_000) < 10 * max(took(4_000), 0.05)
 
 
 def test_warc_with_a_damaged_member(spark, tmp_path):
@@ -276,7 +326,7 @@ def test_warc_with_a_damaged_member(spark, tmp_path):
     at = [0, *itertools.accumulate(map(len, members))]
     raw = b"".join(members)
     want = [(at[i], len(members[i]), f"u{i}", x, True) for i, x in enumerate(bodies)]
-    got = lambda content: [(o, n, h.get("warc-target-uri"), p, ok) for o, n, h, p, ok in warc.parse_file(content)]
+    got = lambda content: [(o, n, h.get("warc-target-uri"), p, ok) for o, n, h, p, ok, _ in warc.parse_file(content)]
     assert got(raw) == want and got(raw + bytes(1000)) == want
     for i in range(5):
         own = len(members[i])
@@ -301,7 +351,7 @@ def test_warc_with_a_damaged_member(spark, tmp_path):
 
 def test_warc_truncated():
     raw = b"WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 10\r\n\r\nabc"
-    assert [(h["warc-type"], p, ok) for _, _, h, p, ok in warc.parse_file(raw)] == [("response", b"abc", False)]
+    assert [(h["warc-type"], p, ok) for _, _, h, p, ok, _ in warc.parse_file(raw)] == [("response", b"abc", False)]
     assert list(warc.parse_file(b"")) == []
 
 
