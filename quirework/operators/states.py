@@ -87,3 +87,30 @@ def retry_stage(known: Column, has_original: Column, has_text: Column, has_findi
 def stage_and_progress(state: Column, retry: Column) -> Column:
     """struct<stage, progress> of an item; states without their own take those of the stage to retry."""
     return F.struct(F.coalesce(lookup(STAGE_OF, state), retry).alias("stage"), F.coalesce(lookup(PROGRESS_OF, state), lookup(PROGRESS_AT, retry)).cast("long").alias("progress"))
+
+
+def claim_run(runs: DataFrame, expected: Column, session: str, now_ms: int, ttl_ms: int) -> DataFrame:
+    """runs (status, claim_version, session_id, deadline_ms, ...) after session tried to claim each at the claim version it expects, with claimed.
+
+    Runs that wait can be claimed, and running ones whose claim is over, was never given, or is another session's. A
+    claim raises the version, so whoever held the run before is fenced off.
+    """
+    lapsed = F.col("session_id").isNull() | (F.col("session_id") != session) | F.col("deadline_ms").isNull() | (F.col("deadline_ms") <= now_ms)
+    ok = F.coalesce((F.col("claim_version") == expected) & (F.col("status").isin("queued", "recovering") | ((F.col("status") == "running") & lapsed)), F.lit(False))
+    sets = {"status": F.lit("running"), "session_id": F.lit(session), "deadline_ms": F.lit(now_ms + ttl_ms).cast("long"), "claim_version": (F.col("claim_version") + 1).cast("long")}
+    return runs.withColumn("claimed", ok).withColumns({c: F.when(ok, v).otherwise(F.col(c)) for c, v in sets.items()})
+
+
+def settle_run(runs: DataFrame, action: Column, session: str, now_ms: int, ttl_ms: int, at: str) -> DataFrame:
+    """runs after session's action on each (renew, checkpoint, complete or fail), with accepted.
+
+    Only a live claim of the session takes an action. renew moves the deadline; complete and fail end the run and drop
+    the claim; instants never go back.
+    """
+    live = F.coalesce((F.col("status") == "running") & (F.col("session_id") == session) & (F.col("deadline_ms") > now_ms), F.lit(False))
+    ends = live & action.isin("complete", "fail")
+    status = F.when(live & (action == "complete"), "succeeded").when(live & (action == "fail"), "failed").otherwise(F.col("status"))
+    deadline = F.when(ends, F.lit(None)).when(live & (action == "renew"), now_ms + ttl_ms).otherwise(F.col("deadline_ms")).cast("long")
+    updated = F.when(live, F.greatest("updated_at", F.lit(at))).otherwise(F.col("updated_at"))
+    out = runs.withColumn("accepted", live)
+    return out.withColumns({"status": status, "deadline_ms": deadline, "session_id": F.when(~ends, F.col("session_id")), "updated_at": updated})

@@ -10,7 +10,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quirework.sources.catalog import VIEWS, ctes, load
+from quirework.operators.tables import placed
+from quirework.sources.catalog import ITEM_STATES, VIEWS, ctes, load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -29,7 +30,7 @@ def query(sql: str, *views: str):
 
         QUERIES[plan.__name__] = run
         own = [v for v in views if v in VIEWS]
-        ORACLE_SQL[plan.__name__] = (ctes(*own) if own else "") + sql
+        ORACLE_SQL[plan.__name__] = (ctes(*own) + (f", {sql[5:]}" if sql.startswith("WITH ") else sql)) if own else sql
         return plan
 
     return add
@@ -67,11 +68,10 @@ def import_summary(imports: DataFrame, items: DataFrame, library: DataFrame) ->
     return rows.select("import_id", "pack_id", "status", F.coalesce("n", F.lit(0)).cast("long").alias("items"), F.coalesce("f", F.lit(0)).cast("long").alias("failed"))
 
 
-@query("SELECT import_id, created_at, row_number() OVER (ORDER BY created_at DESC, import_id) AS place FROM imports ORDER BY place LIMIT 100", "imports")
+@query("SELECT import_id, created_at, row_number() OVER (ORDER BY created_at DESC, import_id) AS place FROM imports", "imports")
 def newest_imports(imports: DataFrame) -> DataFrame:
-    """The first page of imports, newest first: a top-k, so nothing is sorted whole."""
-    top = imports.orderBy(F.desc("created_at"), "import_id").limit(100).select("import_id", "created_at")
-    return top.withColumn("place", F.row_number().over(Window.orderBy(F.desc("created_at"), "import_id")).cast("long"))
+    """All imports, newest first: ranges of the order are sorted, and none of them whole in one task."""
+    return placed(imports.select("import_id", "created_at"), F.desc("created_at"), "import_id")
 
 
 @query(
@@ -97,10 +97,9 @@ def next_sort_index(packs: DataFrame, library: DataFrame) -> DataFrame:
     return packs.join(own, F.col("id") == F.col("of"), "left").select(F.col("id").alias("pack_id"), F.coalesce(F.col("m") + 1, F.lit(0)).cast("long").alias("next_index"), F.coalesce("n", F.lit(0)).cast("long").alias("items"))
 
 
-@query("SELECT id, title, state, updated_at, row_number() OVER (ORDER BY updated_at DESC, id) AS place FROM packs WHERE deleted_at IS NULL ORDER BY place LIMIT 50", "packs")
+@query("SELECT id, title, state, updated_at, row_number() OVER (ORDER BY updated_at DESC, id) AS place FROM packs WHERE deleted_at IS NULL", "packs")
 def live_packs(packs: DataFrame) -> DataFrame:
-    top = packs.filter("deleted_at is null").orderBy(F.desc("updated_at"), "id").limit(50)
-    return top.select("id", "title", "state", "updated_at", F.row_number().over(Window.orderBy(F.desc("updated_at"), "id")).cast("long").alias("place"))
+    return placed(packs.filter("deleted_at is null").select("id", "title", "state", "updated_at"), F.desc("updated_at"), "id")
 
 
 @query(
@@ -130,17 +129,17 @@ def latest_runs(runs: DataFrame) -> DataFrame:
 
 
 @query(
-    """SELECT count(DISTINCT artifact_id) AS artifacts FROM artifact_references
-       WHERE (owner_type = 'context-item' AND owner_id IN (SELECT id FROM context_items WHERE pack_id < 500))
-          OR (owner_type = 'export' AND owner_id IN (SELECT CAST(import_id AS VARCHAR) FROM imports WHERE pack_id < 500))""",
+    """SELECT pack_id, count(DISTINCT artifact_id) AS artifacts FROM (
+         SELECT c.pack_id, r.artifact_id FROM artifact_references r JOIN context_items c ON c.id = r.owner_id WHERE r.owner_type = 'context-item'
+         UNION ALL SELECT i.pack_id, r.artifact_id FROM artifact_references r JOIN imports i ON CAST(i.import_id AS VARCHAR) = r.owner_id WHERE r.owner_type = 'export') GROUP BY pack_id""",
     "artifact_references", "context_items", "imports",
 )
 def ref_distinct_count(references: DataFrame, library: DataFrame, imports: DataFrame) -> DataFrame:
-    items = library.filter("pack_id < 500").select(F.col("id").alias("o"))
-    exports = imports.filter("pack_id < 500").select(F.col("import_id").cast("string").alias("o"))
-    a = references.filter("owner_type = 'context-item'").join(items, F.col("owner_id") == F.col("o"), "left_semi")
-    b = references.filter("owner_type = 'export'").join(exports, F.col("owner_id") == F.col("o"), "left_semi")
-    return a.select("artifact_id").union(b.select("artifact_id")).agg(F.countDistinct("artifact_id").alias("artifacts"))
+    """The count for every pack at once: the OR of two owners is a union of two joins."""
+    items = library.select(F.lit("context-item").alias("kind"), F.col("id").alias("o"), "pack_id")
+    exports = imports.select(F.lit("export").alias("kind"), F.col("import_id").cast("string").alias("o"), "pack_id")
+    owners = items.unionByName(exports)
+    return references.join(owners, (F.col("owner_type") == F.col("kind")) & (F.col("owner_id") == F.col("o"))).groupBy("pack_id").agg(F.countDistinct("artifact_id").alias("artifacts"))
 
 
 @query(
@@ -200,7 +199,7 @@ def existence_flag(artifacts: DataFrame, references: DataFrame) -> DataFrame:
 @query("SELECT DISTINCT a.id, c.pack_id FROM artifacts a JOIN artifact_references r ON r.artifact_id = a.id JOIN context_items c ON c.id = r.owner_id WHERE r.owner_type = 'context-item' AND a.kind = 'original'", "artifacts", "artifact_references", "context_items")
 def pack_originals(artifacts: DataFrame, references: DataFrame, library: DataFrame) -> DataFrame:
     held = references.filter("owner_type = 'context-item'").join(library.select(F.col("id").alias("c"), "pack_id"), F.col("owner_id") == F.col("c")).select("artifact_id", "pack_id").distinct()
-    return artifacts.filter("kind = 'original'").select("id").join(held, F.col("id") == F.col("artifact_id")).select("id", "pack_id")
+    return artifacts.filter("kind = 'original'").select("id").distinct().join(held, F.col("id") == F.col("artifact_id")).select("id", "pack_id")
 
 
 @query("SELECT r.id, r.status, p.revision, p.state FROM runs r JOIN packs p ON p.id = r.pack_id WHERE p.deleted_at IS NULL AND r.status IN ('running', 'recovering')", "runs", "packs")
@@ -243,19 +242,6 @@ def diagnostics_rollup(events: DataFrame) -> DataFrame:
     return events.groupBy(F.col("event_type").alias("code"), F.col("user_id").alias("subject")).agg(F.count("*").alias("occurrences"), F.min("event_id").alias("first_seen"), F.max("event_id").alias("last_seen"), F.max_by("value", "event_id").alias("last_value"))
 
 
-@query(f"SELECT id, CASE WHEN status IN ('queued', 'running', 'recovering') THEN 'cancelled' ELSE status END AS status, CASE WHEN status IN ('queued', 'running', 'recovering') THEN '{NOW}' END AS completed_at FROM runs", "runs")
-def cancel_runs(runs: DataFrame) -> DataFrame:
-    active = F.col("status").isin("queued", "running", "recovering")
-    return runs.select("id", F.when(active, "cancelled").otherwise(F.col("status")).alias("status"), F.when(active, F.lit(NOW)).alias("completed_at"))
-
-
-@query("SELECT id, CASE WHEN status = 'queued' THEN 'running' ELSE status END AS status, claim_version + CASE WHEN status = 'queued' THEN 1 ELSE 0 END AS claim_version FROM runs WHERE claim_version = 2", "runs")
-def claim_runs(runs: DataFrame) -> DataFrame:
-    """Runs at the expected claim version after waiting ones were claimed: compare and set."""
-    free = F.col("status") == "queued"
-    return runs.filter("claim_version = 2").select("id", F.when(free, "running").otherwise(F.col("status")).alias("status"), (F.col("claim_version") + free.cast("long")).alias("claim_version"))
-
-
 @query("SELECT a.id FROM artifacts a WHERE NOT EXISTS (SELECT 1 FROM context_items c JOIN packs p ON p.id = c.pack_id WHERE c.id = a.item_id AND p.deleted_at IS NOT NULL)", "artifacts", "context_items", "packs")
 def delete_packs(artifacts: DataFrame, library: DataFrame, packs: DataFrame) -> DataFrame:
     """Artifacts that stay when the deleted packs' items go."""
@@ -277,25 +263,60 @@ def newest_import(imports: DataFrame) -> DataFrame:
 
 
 @query(
-    """SELECT coalesce(i.item_id, a.item_id) AS item_id, CASE WHEN a.item_id IS NULL THEN 'missing' WHEN i.item_id IS NULL THEN 'extra' WHEN i.byte_count <> a.byte_count THEN 'mismatch' ELSE 'same' END AS verdict
-       FROM (SELECT * FROM import_items WHERE supplier % 2 = 0) i FULL OUTER JOIN (SELECT * FROM artifacts WHERE kind = 'original') a ON a.item_id = i.item_id""",
-    "import_items", "artifacts",
+    """SELECT coalesce(i.item_id, a.item_id) AS item_id, CASE WHEN a.item_id IS NULL THEN 'missing' WHEN i.item_id IS NULL THEN 'extra' WHEN i.byte_count <> a.byte_count OR i.sha256 <> a.sha256 OR i.relative_path <> a.relative_path OR i.media_type <> a.media_type THEN 'mismatch' ELSE 'same' END AS verdict
+       FROM (SELECT item_id, byte_count, media_type, md5(split_part(item_id, '-', 3)) AS sha256, 'Packs/' || import_id || '/Originals/' || split_part(item_id, '-', 3) || '-' || sort_index AS relative_path FROM import_items WHERE status = 'copied') i
+       FULL OUTER JOIN (SELECT a.item_id, a.byte_count, a.sha256, a.relative_path, CASE WHEN c.source_type = 'pdf' THEN 'application/pdf' ELSE c.media_type END AS media_type FROM artifacts a LEFT JOIN (
+         SELECT i.item_id AS id, i.media_type, c.source_type FROM import_items i LEFT JOIN (SELECT DISTINCT id, source_type FROM context_items) c ON c.id = i.item_id) c ON c.id = a.item_id WHERE a.kind = 'original') a ON a.item_id = i.item_id""",
+    "import_items", "artifacts", "context_items",
 )
-def reconcile(items: DataFrame, artifacts: DataFrame) -> DataFrame:
-    i = items.filter("supplier % 2 = 0").select(F.col("item_id").alias("i"), F.col("byte_count").alias("ib"))
-    a = artifacts.filter("kind = 'original'").select(F.col("item_id").alias("a"), F.col("byte_count").alias("ab"))
-    verdict = F.when(F.col("a").isNull(), "missing").when(F.col("i").isNull(), "extra").when(F.col("ib") != F.col("ab"), "mismatch").otherwise("same")
+def reconcile(items: DataFrame, artifacts: DataFrame, library: DataFrame) -> DataFrame:
+    """Every copied item of the manifests against every original, by id, size, hash, path and media type."""
+    part = F.get(F.split("item_id", "-"), 2)
+    path = F.concat(F.lit("Packs/"), F.col("import_id").cast("string"), F.lit("/Originals/"), part, F.lit("-"), F.col("sort_index").cast("string"))
+    i = items.filter("status = 'copied'").select(F.col("item_id").alias("i"), F.struct("byte_count", "media_type", F.md5(part.cast("binary")).alias("sha256"), path.alias("relative_path")).alias("iv"))
+    kinds = items.select(F.col("item_id").alias("k"), "media_type").join(library.select(F.col("id").alias("c"), "source_type").distinct(), F.col("k") == F.col("c"), "left")
+    kinds = kinds.select("k", F.when(F.col("source_type") == "pdf", "application/pdf").otherwise(F.col("media_type")).alias("media_type"))
+    a = artifacts.filter("kind = 'original'").join(kinds, F.col("item_id") == F.col("k"), "left").select(F.col("item_id").alias("a"), F.struct("byte_count", "media_type", "sha256", "relative_path").alias("av"))
+    verdict = F.when(F.col("a").isNull(), "missing").when(F.col("i").isNull(), "extra").when(F.col("iv") != F.col("av"), "mismatch").otherwise("same")
     return i.join(a, F.col("i") == F.col("a"), "full_outer").select(F.coalesce("i", "a").alias("item_id"), verdict.alias("verdict"))
 
 
-@query("SELECT 'duplicate-item' AS rule, count(*) AS violations FROM (SELECT id FROM context_items GROUP BY id HAVING count(*) > 1) UNION ALL SELECT 'orphan-reference', count(*) FROM artifact_references r WHERE NOT EXISTS (SELECT 1 FROM artifacts a WHERE a.id = r.artifact_id) UNION ALL SELECT 'failed-run-without-code', count(*) FROM runs WHERE (status = 'failed') <> (error_code IS NOT NULL)", "context_items", "artifact_references", "artifacts", "runs")
-def constraints(library: DataFrame, references: DataFrame, artifacts: DataFrame, runs: DataFrame) -> DataFrame:
-    """Keys, foreign keys and checks as counts of violations."""
-    n = lambda df, rule: df.agg(F.count("*").alias("violations")).select(F.lit(rule).alias("rule"), "violations")
-    twice = library.groupBy("id").count().filter("count > 1")
-    orphans = references.join(artifacts.select(F.col("id").alias("a")), F.col("artifact_id") == F.col("a"), "left_anti")
-    bad = runs.filter((F.col("status") == "failed") != F.col("error_code").isNotNull())
-    return n(twice, "duplicate-item").unionByName(n(orphans, "orphan-reference")).unionByName(n(bad, "failed-run-without-code"))
+@query(
+    """SELECT 'duplicate-item' AS rule, count(*) AS violations FROM (SELECT id FROM context_items GROUP BY id HAVING count(*) > 1)
+       UNION ALL SELECT 'orphan-reference', count(*) FROM artifact_references r WHERE NOT EXISTS (SELECT 1 FROM artifacts a WHERE a.id = r.artifact_id)
+       UNION ALL SELECT 'failed-run-without-code', count(*) FROM runs WHERE (status = 'failed') <> (error_code IS NOT NULL)
+       UNION ALL SELECT 'duplicate-path', count(*) FROM (SELECT relative_path FROM artifacts GROUP BY relative_path HAVING count(*) > 1)
+       UNION ALL SELECT 'duplicate-place', count(*) FROM (SELECT pack_id, import_id, sort_index FROM context_items GROUP BY ALL HAVING count(*) > 1)
+       UNION ALL SELECT 'second-original', count(*) FROM (SELECT item_id FROM artifacts WHERE kind = 'original' GROUP BY item_id HAVING count(*) > 1)
+       UNION ALL SELECT 'two-active-runs', count(*) FROM (SELECT pack_id, stage FROM runs WHERE status IN ('queued', 'running') GROUP BY ALL HAVING count(*) > 1)
+       UNION ALL SELECT 'orphan-item', count(*) FROM context_items c WHERE NOT EXISTS (SELECT 1 FROM packs p WHERE p.id = c.pack_id)
+       UNION ALL SELECT 'unknown-state', count(*) FROM context_items WHERE state NOT IN ('received', 'imported', 'extracted', 'analyzed', 'review-required', 'reviewed', 'packaged', 'recovering', 'failed', 'cancelled')
+       UNION ALL SELECT 'negative-size', count(*) FROM artifacts WHERE byte_count < 0
+       UNION ALL SELECT 'claim-without-deadline', count(*) FROM runs WHERE status = 'running' AND (session_id IS NULL) <> (deadline_ms IS NULL)""",
+    "context_items", "artifact_references", "artifacts", "runs", "packs",
+)
+def constraints(library: DataFrame, references: DataFrame, artifacts: DataFrame, runs: DataFrame, packs: DataFrame) -> DataFrame:
+    """Keys, partial keys, foreign keys and checks as counts of violations."""
+    twice = lambda table, *key: table.groupBy(*key).count().filter("count > 1")
+    lacks = lambda table, column, other, key: table.join(other.select(F.col(key).alias("_k")), F.col(column) == F.col("_k"), "left_anti")
+    bad = {
+        "duplicate-item": twice(library, "id"),
+        "orphan-reference": lacks(references, "artifact_id", artifacts, "id"),
+        "failed-run-without-code": runs.filter((F.col("status") == "failed") != F.col("error_code").isNotNull()),
+        "duplicate-path": twice(artifacts, "relative_path"),
+        "duplicate-place": twice(library, "pack_id", "import_id", "sort_index"),
+        "second-original": twice(artifacts.filter("kind = 'original'"), "item_id"),
+        "two-active-runs": twice(runs.filter(F.col("status").isin("queued", "running")), "pack_id", "stage"),
+        "orphan-item": lacks(library, "pack_id", packs, "id"),
+        "unknown-state": library.filter(~F.col("state").isin(*ITEM_STATES)),
+        "negative-size": artifacts.filter("byte_count < 0"),
+        "claim-without-deadline": runs.filter((F.col("status") == "running") & (F.col("session_id").isNull() != F.col("deadline_ms").isNull())),
+    }
+    counts = [df.agg(F.count("*").alias("violations")).select(F.lit(rule).alias("rule"), "violations") for rule, df in bad.items()]
+    out = counts[0]
+    for more in counts[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 # Read models.
@@ -347,10 +368,12 @@ def first_error(items: DataFrame, imports: DataFrame) -> DataFrame:
     return rows.groupBy("pack_id").agg(F.max_by("error_code", F.struct("created_at", "import_id", "item_id")).alias("error_code"), F.count("*").alias("errors"))
 
 
-@query("SELECT import_id, item_id, CAST(floor((row_number() OVER (PARTITION BY import_id ORDER BY sort_index, item_id) - 1) / 2) AS BIGINT) AS batch FROM import_items WHERE status = 'failed'", "import_items")
-def retry_batches(items: DataFrame, size: int = 2) -> DataFrame:
-    place = F.row_number().over(Window.partitionBy("import_id").orderBy("sort_index", "item_id")) - 1
-    return items.filter("status = 'failed'").select("import_id", "item_id", F.floor(place / size).alias("batch"))
+@query("SELECT m.pack_id, i.item_id, CAST(floor((row_number() OVER (PARTITION BY m.pack_id ORDER BY i.import_id, i.sort_index, i.item_id) - 1) / 20) AS BIGINT) AS batch FROM import_items i JOIN imports m ON m.import_id = i.import_id WHERE i.status = 'failed'", "import_items", "imports")
+def retry_batches(items: DataFrame, imports: DataFrame, size: int = 20) -> DataFrame:
+    """A pack's failed items in drafts of 20 at most."""
+    rows = items.filter("status = 'failed'").join(imports.select("import_id", "pack_id"), "import_id")
+    place = F.row_number().over(Window.partitionBy("pack_id").orderBy("import_id", "sort_index", "item_id")) - 1
+    return rows.select("pack_id", "item_id", F.floor(place / size).alias("batch"))
 
 
 @query("SELECT id, pack_id, row_number() OVER (PARTITION BY pack_id ORDER BY CASE WHEN moved THEN 1.5 ELSE place END, place) - 1 AS sort_index FROM (SELECT *, row_number() OVER (PARTITION BY pack_id ORDER BY import_id, sort_index, id) AS place, row_number() OVER (PARTITION BY pack_id ORDER BY import_id DESC, sort_index DESC, id DESC) = 1 AS moved FROM context_items)", "context_items")
@@ -360,9 +383,3 @@ def reorder(library: DataFrame) -> DataFrame:
     rows = library.select("id", "pack_id", F.row_number().over(by).alias("place"), F.lead("id").over(by).isNull().alias("moved"))
     key = F.when(F.col("moved"), 1.5).otherwise(F.col("place"))
     return rows.select("id", "pack_id", (F.row_number().over(Window.partitionBy("pack_id").orderBy(key, "place")) - 1).cast("long").alias("sort_index"))
-
-
-@query("SELECT kind, CASE WHEN byte_count % 7 = 0 THEN 'missing' WHEN byte_count % 11 = 0 THEN 'mismatch' ELSE 'verified' END AS status, count(*) AS artifacts FROM artifacts GROUP BY 1, 2", "artifacts")
-def integrity_audit(artifacts: DataFrame) -> DataFrame:
-    status = F.when(F.col("byte_count") % 7 == 0, "missing").when(F.col("byte_count") % 11 == 0, "mismatch").otherwise("verified")
-    return artifacts.groupBy("kind", status.alias("status")).agg(F.count("*").alias("artifacts"))

@@ -218,17 +218,6 @@ def lease_expiry(events: DataFrame) -> DataFrame:
     return E.leases(rows)
 
 
-@query(
-    """SELECT path, CASE WHEN a IS NULL THEN 'quarantine' WHEN NOT used THEN 'delete' ELSE 'keep' END AS action FROM (
-         SELECT f.path, a.relative_path AS a, coalesce(a.used, false) AS used FROM (SELECT DISTINCT relative_path || CASE WHEN byte_count % 9 = 0 THEN '.partial' ELSE '' END AS path FROM artifacts) f
-         LEFT JOIN (SELECT relative_path, bool_or(id IN (SELECT artifact_id FROM artifact_references)) AS used FROM artifacts GROUP BY relative_path) a ON a.relative_path = f.path)""",
-    "artifacts", "artifact_references",
-)
-def garbage(artifacts: DataFrame, references: DataFrame) -> DataFrame:
-    files = artifacts.select(F.concat("relative_path", F.when(F.col("byte_count") % 9 == 0, ".partial").otherwise("")).alias("path")).distinct().withColumn("modified_ms", F.lit(0).cast("long"))
-    return E.cleanup(files, artifacts, references, 10**12)
-
-
 @query(
     """SELECT import_id, CASE WHEN import_id % 5 = 1 THEN 'SCHEMA_VERSION_UNSUPPORTED' WHEN import_id % 5 = 2 OR n > 128 OR n > ids THEN 'SCHEMA_INVALID' END AS error_code FROM (SELECT import_id, count(*) AS n, count(DISTINCT item_id) AS ids FROM import_items GROUP BY import_id)""",
     "import_items",

@@ -40,7 +40,8 @@ VIEWS: dict[str, str] = {
                {_choose("l_partkey + l_suppkey", ("both", "original", "extracted", "excluded"))} AS inclusion_mode,
                CASE WHEN l_returnflag <> 'R' THEN md5(CAST(l_partkey AS STRING)) END AS original_sha256,
                CAST(l_linenumber AS BIGINT) AS sort_index, {_DAY.format("o_orderdate")} AS created_at, CAST(l_quantity * 1000 AS BIGINT) AS byte_count
-        FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey WHERE l_suppkey % 13 <> 0""",
+        FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey
+        WHERE (l_returnflag <> 'R' OR l_quantity > 40) AND NOT (l_returnflag = 'A' AND l_linestatus = 'F' AND l_discount >= 0.1)""",
     "artifacts": f"""
         SELECT {_ITEM} || '/o' AS id, {_ITEM} AS item_id, 'original' AS kind, 'Packs/' || CAST(l_orderkey AS STRING) || '/Originals/' || CAST(l_partkey AS STRING) || '-' || CAST(l_linenumber AS STRING) AS relative_path,
                CAST(l_quantity * 1000 AS BIGINT) AS byte_count, md5(CAST(l_partkey AS STRING)) AS sha256, {_DAY.format("l_shipdate")} AS created_at
@@ -61,9 +62,46 @@ VIEWS: dict[str, str] = {
     "runs": f"""
         SELECT event_id AS id, user_id AS pack_id, {_choose("event_id", ("import", "extract", "analyze", "review", "package"))} AS stage,
                CASE event_type WHEN 'view' THEN 'queued' WHEN 'click' THEN 'running' WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'succeeded' ELSE 'recovering' END AS status,
-               event_id % 4 AS claim_version, 'session-' || CAST(user_id % 3 AS STRING) AS session_id, CAST(value * 1000 AS BIGINT) AS deadline_ms,
+               event_id % 4 AS claim_version, 'session-' || CAST(user_id % 3 AS STRING) AS session_id, CAST(round(value * 1000) AS BIGINT) AS deadline_ms,
                CASE WHEN event_type = 'error' THEN {_choose("event_id", ("RESOURCE_MEMORY_PRESSURE", "TEXT_TOO_LARGE", "OCR_FAILED"))} END AS error_code
         FROM {{events}}""",
+    "run_items": f"""
+        SELECT event_id AS id, event_id % 1000 AS import_id, user_id AS pack_id, CASE event_type WHEN 'view' THEN 'queued' WHEN 'click' THEN 'running' WHEN 'error' THEN 'failed' WHEN 'purchase' THEN 'succeeded' ELSE 'recovering' END AS status,
+               {_choose("event_id", ("import", "extract", "analyze", "review", "package"))} AS stage, CAST(CAST(ts AS DATE) AS STRING) || 'T00:00:00Z' AS updated_at, event_id % 4 AS claim_version,
+               CASE WHEN event_type = 'click' THEN 'session-' || CAST(user_id % 3 AS STRING) END AS session_id, CASE WHEN event_type = 'click' THEN CAST(round(value * 1000) AS BIGINT) END AS deadline_ms
+        FROM {{events}}""",
+    "journal": f"""
+        SELECT o_orderkey AS ingestion_id, o_custkey AS pack_id, CASE substr(o_orderpriority, 1, 1) WHEN '1' THEN 'discovered' WHEN '2' THEN 'handoff-started' WHEN '3' THEN 'files-published' WHEN '4' THEN 'database-committed' ELSE 'quarantined' END AS phase,
+               {_DAY.format("o_orderdate")} AS updated_at, CASE WHEN o_orderpriority LIKE '5%' THEN 'PIPELINE_RECOVERY_REQUIRED' END AS error_code
+        FROM {{orders}}""",
+    "risk_findings": f"""
+        SELECT {_ITEM} || '/f' AS id, {_ITEM} AS item_id, {_choose("l_partkey", ("email", "phone", "api-key", "jwt"))} AS category, CASE WHEN l_tax > 0.04 THEN 'high' ELSE 'low' END AS severity,
+               l_discount * 10 AS confidence, {_DAY.format("l_shipdate")} AS created_at
+        FROM {{lineitem}} WHERE l_discount >= 0.05""",
+    "export_records": f"""
+        SELECT o_orderkey AS id, o_custkey AS pack_id, CASE o_orderstatus WHEN 'F' THEN 'markdown' WHEN 'O' THEN 'pdf' ELSE 'clipboard' END AS format, {_DAY.format("o_orderdate")} AS created_at, 'complete' AS status
+        FROM {{orders}} WHERE o_totalprice > 100000""",
+    "export_artifacts": f"""
+        SELECT l_orderkey AS export_id, {_ITEM} || '/e' AS artifact_id, CAST(l_linenumber AS BIGINT) AS sort_index
+        FROM {{lineitem}} WHERE l_linestatus = 'F' AND l_returnflag <> 'R'""",
+    "quarantine": """
+        SELECT event_id AS id, user_id AS anonymous_id, CASE WHEN value > 100 THEN 'unknown-file' ELSE 'unreferenced' END AS reason, CAST(round(value * 100) AS BIGINT) AS byte_count, CAST(CAST(ts AS DATE) AS STRING) || 'T00:00:00Z' AS created_at,
+               CASE WHEN value > 150 THEN '2024-12-01T00:00:00Z' END AS purged_at
+        FROM {events} WHERE event_type = 'error'""",
+    "stored_suggestions": f"""
+        SELECT o_orderkey AS group_id, o_custkey AS pack_id, a.item AS left_id, b.item AS right_id, a.quantity AS bytes_saved
+        FROM {{orders}} JOIN (SELECT l_orderkey, l_linenumber, {_ITEM} AS item, CAST(l_quantity * 1000 AS BIGINT) AS quantity FROM {{lineitem}}) a ON a.l_orderkey = o_orderkey
+        JOIN (SELECT l_orderkey, l_linenumber, {_ITEM} AS item FROM {{lineitem}}) b ON b.l_orderkey = o_orderkey AND b.l_linenumber = a.l_linenumber + 1""",
+    "decisions": f"""
+        SELECT {_ITEM} AS item_id, o_custkey AS pack_id, CASE WHEN l_tax > 0.06 THEN 'exclude' WHEN l_tax > 0.05 THEN 'preferred' ELSE 'keep' END AS choice,
+               {_choose("l_partkey + l_suppkey", ("both", "original", "extracted", "excluded"))} AS baseline, CASE WHEN l_discount > 0.05 THEN 'preferred-group' ELSE 'standalone' END AS source, {_DAY.format("l_shipdate")} AS decided_at
+        FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey WHERE l_tax > 0.03""",
+    "file_artifacts": """
+        SELECT doc_id AS id, coalesce(lang, 'und') AS kind, 'Packs/' || CAST(doc_id AS STRING) || '/originals/text.txt' AS relative_path, text FROM {documents}""",
+    "file_store": """
+        SELECT 'Packs/' || CAST(doc_id AS STRING) || '/originals/text.txt' AS path, CASE WHEN quality = 0 AND toxic = 0 THEN text || '!' ELSE text END AS content
+        FROM {documents} LEFT JOIN (SELECT doc_id AS l_id, min(quality) AS quality, max(toxic) AS toxic FROM {labels} GROUP BY doc_id) l ON l_id = doc_id WHERE coalesce(toxic, 0) = 0
+        UNION ALL SELECT 'Quarantine/' || CAST(item_id AS STRING), text FROM {benchmark}""",
 }
 
 
