@@ -77,10 +77,36 @@ def test_similar_text_is_brute_force(spark):
     assert want and got == want
 
 
+@pytest.mark.parametrize("hot", [2, 50])
+def test_similar_text_with_hot_elements_and_sizes(spark, hot):
+    rng = random.Random(6)
+    letters = [chr(97 + i) for i in range(20)]
+    base = "".join(rng.choices(letters, k=90))
+    texts = [base[: 30 + 2 * i] for i in range(30)] + [base + "".join(rng.choices(letters, k=k)) for k in range(0, 40, 2)] + [base[:20] + "".join(rng.choices(letters, k=70)) for _ in range(20)]
+    items = spark.createDataFrame([(None if i % 2 else "p", i, t) for i, t in enumerate(texts)], "pack_id string, item_id long, text string")
+    got = {(r["left_id"], r["right_id"]): r["confidence"] for r in dedup.similar_text(dedup.analyse(items), hot).collect()}
+    sketches = [set(S.sketch_of(t).tolist()) for t in texts]
+    want = {}
+    for i, j in itertools.combinations(range(len(texts)), 2):
+        share = len(sketches[i] & sketches[j]) / len(sketches[i] | sketches[j])
+        if i % 2 == j % 2 and int(share * 1e6 + 0.5) / 1e6 >= 0.82:
+            want[i, j] = int(share * 1e6 + 0.5) / 1e6
+    assert len(want) > 40 and got == want
+
+
 def test_near_image(spark):
-    rows = [("p", 1, "ffffffffffffffff", 5), ("p", 2, "ffffffffffffff00", 7), ("p", 3, "fffffffffffffe00", 9), ("q", 4, "ffffffffffffffff", 1), ("p", 5, None, 1), ("p", 6, "ffffffffffffffff", 1)]
-    got = {(r["left_id"], r["right_id"], r["bytes_saved"]) for r in dedup.near_image(spark.createDataFrame(rows, "pack_id string, item_id long, hash string, bytes long")).collect()}
-    assert got == {(1, 2, 5), (2, 3, 7)}
+    rows = [("p", 1, "ffffffffffffffff", 5), ("p", 2, "ffffffffffffff00", 7), ("p", 3, "fffffffffffffe00", 9), ("q", 4, "ffffffffffffffff", 1), ("p", 5, None, 1), ("p", 6, "ffffffffffffffff", 1), (None, 7, "00", 1), (None, 8, "0000000000000000", 2), (None, 9, "0000000000000000", 3)]
+    got = {(r["left_id"], r["right_id"], r["bytes_saved"], r["confidence"]) for r in dedup.near_image(spark.createDataFrame(rows, "pack_id string, item_id long, hash string, bytes long")).collect()}
+    assert got == {(1, 2, 5, 0.875), (2, 3, 7, 0.984375), (1, 6, 1, 1.0), (8, 9, 2, 1.0)}
+
+
+def test_reasons_have_an_order(spark):
+    kinds = "pack_id string, left_id long, right_id long, confidence double, bytes_saved long, characters_saved long"
+    exact = spark.createDataFrame([("p", 1, 1, 5), ("p", 2, 1, 5), ("p", 3, 3, 6)], "pack_id string, item_id long, representative long, bytes long")
+    images = spark.createDataFrame([("p", 1, 2, 0.9, 1, 0), ("p", 1, 3, 0.9, 2, 0)], kinds)
+    texts = spark.createDataFrame([("p", 1, 3, 0.85, 3, 3), ("p", 2, 3, 0.85, 4, 4)], kinds)
+    got = {r["key"]: (r["confidence"], r["bytes_saved"]) for r in dedup.suggestions(exact, ("near-image", images), ("similar-text", texts)).collect()}
+    assert got == {"exact-binary:1:2": (1.0, 5), "near-image:1:3": (0.9, 2), "similar-text:2:3": (0.85, 4)}
 
 
 def test_group_savings_small_and_large(spark):
