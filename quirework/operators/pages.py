@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quirework.functions.text import density, page_text, utf16_units
@@ -92,3 +92,50 @@ def pdf_envelope(content: Column) -> Column:
     """Whether bytes begin and end as a PDF does: %PDF- early, %%EOF after startxref late."""
     head, tail = F.decode(F.substring(content, 1, 1024), "ISO-8859-1"), F.decode(F.right(content, F.lit(4096)), "ISO-8859-1")
     return F.coalesce(F.contains(head, F.lit("%PDF-")) & tail.rlike(r"(?s)startxref(?!.*startxref).*%%EOF"), F.lit(False))
+
+
+def pdf_encrypted(content: Column) -> Column:
+    """Whether the last trailer of a PDF, or the dictionary of its last cross-reference stream, names /Encrypt."""
+    tail = F.decode(F.right(content, F.lit(65_536)), "ISO-8859-1")
+    last = F.regexp_extract(tail, r"(?s).*(?:\btrailer\b|/Type\s*/XRef\b)(.*?)(?:startxref|$)", 0)
+    return F.coalesce(last.rlike(r"/Encrypt\b"), F.lit(False))
+
+
+def embedded_text(runs: Column) -> Column:
+    """struct<text, error_code> of a page's content runs: each cleaned, joined by newlines, failed over the limit."""
+    text = F.array_join(F.transform(runs, lambda r: page_text(F.coalesce(r, F.lit("")))), "\n")
+    over = utf16_units(text) > MOST_UNITS
+    return F.struct(F.when(~over, text).alias("text"), F.when(over, "PDF_PAGE_EXTRACTION_FAILED").alias("error_code"))
+
+
+def remaining_pages(tasks: DataFrame, committed: DataFrame, retries: DataFrame) -> DataFrame:
+    """task_id, page_index, error_code: the pages that a recovered task still has to read.
+
+    tasks: task_id, sha256, script, page_count. committed: the pages of checkpoints, with the identity that each was
+    made under (task_id, sha256, script, page_count, page_index, status). retries: task_id, page_index of failed pages
+    to read again. A task whose checkpoint has another identity, a page that isn't the document's or comes twice, or
+    that is to retry a page that didn't fail, gets one row with PDF_RESULT_INVALID and no page.
+    """
+    own = committed.groupBy("task_id", "page_index").agg(F.count("*").alias("n"), F.min("status").alias("status"), F.min("sha256").alias("c_sha"), F.min("script").alias("c_script"), F.min("page_count").alias("c_count"))
+    again = retries.select(F.col("task_id").alias("r_task"), F.col("page_index").alias("r_page")).distinct()
+    both = own.join(again, (F.col("task_id") == F.col("r_task")) & (F.col("page_index") == F.col("r_page")), "full_outer")
+    pages = both.select(F.coalesce("task_id", "r_task").alias("p_task"), F.coalesce("page_index", "r_page").alias("p_index"), F.col("task_id").isNotNull().alias("there"), F.col("r_task").isNotNull().alias("retried"), "n", "status", "c_sha", "c_script", "c_count")
+    rows = tasks.join(pages, F.col("task_id") == F.col("p_task"), "left")
+    same = F.col("c_sha").eqNullSafe(F.col("sha256")) & F.col("c_script").eqNullSafe(F.col("script")) & F.col("c_count").eqNullSafe(F.col("page_count"))
+    wrong = F.col("there") & (~same | (F.col("n") > 1) | (F.col("p_index") >= F.col("page_count")) | (F.col("p_index") < 0))
+    wrong = F.coalesce(wrong | (F.col("retried") & ~(F.col("there") & (F.col("status") == "failed"))), F.lit(False))
+    told = rows.groupBy("task_id", "page_count").agg(F.max(wrong).alias("bad"), F.collect_list(F.when(F.col("there") & ~F.col("retried"), F.col("p_index"))).alias("have"))
+    # A document has few pages, so its list of them is short.
+    left = F.array_except(F.sequence(F.lit(0).cast("long"), F.col("page_count").cast("long") - 1), F.col("have").cast("array<long>"))
+    good = told.filter("not bad and page_count > 0").select("task_id", F.explode(left).alias("page_index"), F.lit(None).cast("string").alias("error_code"))
+    return good.unionByName(told.filter("bad").select("task_id", F.lit(None).cast("long").alias("page_index"), F.lit("PDF_RESULT_INVALID").alias("error_code")))
+
+
+def task_progress(pages: DataFrame) -> DataFrame:
+    """pages (task_id, page_count, page_index, status, seq) as they end, to what is said after each: the pages done, and done over all.
+
+    A page that ends again is counted once; checkpoints are what is said last.
+    """
+    first = pages.groupBy("task_id", "page_count", "page_index").agg(F.min("seq").alias("seq"), F.max_by("status", "seq").alias("status"))
+    done = F.count("*").over(Window.partitionBy("task_id").orderBy("seq", "page_index"))
+    return first.withColumn("done", done).withColumn("share", F.round(F.col("done") / F.col("page_count"), 6))

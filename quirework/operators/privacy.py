@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The pattern of each category, in order of precedence where findings begin at one place.
@@ -13,7 +13,7 @@ PATTERNS = {
     "api-key": r"\b(?:AKIA[0-9A-Z]{16}|sk_(?:live|test)_[A-Za-z0-9]{16,}|ghp_[A-Za-z0-9]{36})\b",
     "url-credential": r"\bhttps?://[^\s/?#@:]+:[^\s/?#@]+@",
     "email": r"\b[A-Za-z0-9._%+-]{1,64}@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){0,8}\.[A-Za-z]{2,24}\b",
-    "ip-address": r"\b(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\b",
+    "ip-address": r"\b(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}\b|\b(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6}\b|\b(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])\b",
     "payment-card": r"\b[0-9](?:[ -]?[0-9]){12,18}\b",
     "phone": r"\+[0-9]{1,3}[ -]?\(?[0-9]{2,4}\)?[ -]?[0-9]{3}[ -]?[0-9]{3,4}\b",
 }
@@ -48,16 +48,44 @@ def findings(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "category", "s.start", "s.length", "confidence")
 
 
-def redact(text: Column) -> Column:
-    """text with every finding replaced by the name of its category, one category after the other."""
-    for category, pattern in PATTERNS.items():
-        mark = f"[REDACTED_{category.upper().replace('-', '_')}]"
-        if category == "payment-card":
-            parts = spans(text, category)
-            text = F.aggregate(F.array_distinct(F.transform(parts, lambda s: s["value"])), text, lambda t, v: F.replace(t, v, F.lit(mark)))  # noqa: B023
-        else:
-            text = F.regexp_replace(text, pattern, mark)
-    return text
+def all_spans(text: Column) -> Column:
+    """array<struct<start, length, category>>: what findings cover, in order and without overlap.
+
+    Findings that overlap are one stretch, from the first one's start to the last one's end, of the category of the one
+    that starts first (of such that start together the longest, then by the order of PATTERNS).
+    """
+    own = [F.transform(spans(text, c), lambda s: F.struct(s["start"].alias("start"), (-s["length"]).alias("minus"), F.lit(i).alias("rank"), F.lit(c).alias("category"))) for i, c in enumerate(PATTERNS)]  # noqa: B023
+    every = F.array_sort(F.concat(*own))
+    empty = F.expr("cast(array() as array<struct<start:int,length:int,category:string>>)")
+
+    def step(kept: Column, s: Column) -> Column:
+        last, end = F.element_at(kept, -1), s["start"] - s["minus"]
+        stretch = F.struct(last["start"].alias("start"), F.greatest(last["length"], end - last["start"]).alias("length"), last["category"].alias("category"))
+        fresh = F.struct(s["start"].alias("start"), (-s["minus"]).alias("length"), s["category"].alias("category"))
+        overlaps = (F.size(kept) > 0) & (s["start"] < last["start"] + last["length"])
+        return F.when(overlaps, F.concat(F.slice(kept, F.lit(1), F.size(kept) - 1), F.array(stretch))).otherwise(F.concat(kept, F.array(fresh)))
+
+    return F.aggregate(every, empty, step)
+
+
+def redact(text: Column, keep: Column | None = None) -> Column:
+    """text with every stretch of findings replaced by the name of its category.
+
+    keep: array<string> of what stays as it is: a category, or "category:start" for one stretch. Marks that are in the
+    text already match no pattern. The new text is put together once, from what lies between stretches.
+    """
+    found = all_spans(text)
+    if keep is not None:
+        kept = F.coalesce(keep, F.array().cast("array<string>"))
+        found = F.filter(found, lambda s: ~F.array_contains(kept, s["category"]) & ~F.array_contains(kept, F.concat_ws(":", s["category"], s["start"].cast("string"))))
+    ends = lambda f: F.concat(F.array(F.lit(0)), F.transform(f, lambda s: s["start"] + s["length"]))
+    mark = lambda s: F.concat(F.lit("[REDACTED_"), F.upper(F.replace(s["category"], F.lit("-"), F.lit("_"))), F.lit("]"))
+    # An array of one holds the stretches, so that they are found once.
+    made = F.transform(F.array(found), lambda f: F.concat(
+        F.array_join(F.zip_with(f, F.slice(ends(f), F.lit(1), F.size(f)), lambda s, b: F.concat(text.substr(b + 1, s["start"] - b), mark(s))), ""),
+        text.substr(F.element_at(ends(f), -1) + 1, F.length(text)),
+    ))
+    return F.get(made, F.lit(0))
 
 
 def token_estimate(text: Column, preset: str = "quality") -> Column:
@@ -87,3 +115,14 @@ def markdown(items: DataFrame) -> DataFrame:
     contents = F.array_join(F.zip_with("i", unique, lambda x, s: F.concat(F.lit("- ["), x["title"], F.lit("](#"), s, F.lit(")"))), "\n")
     body = F.array_join(F.transform("i", lambda x: F.concat(F.lit("## "), x["title"], F.lit("\n\n"), F.when(x["kind"] == "code", F.concat(fence_for(x["text"]), F.lit("\n"), x["text"], F.lit("\n"), fence_for(x["text"]))).otherwise(x["text"]))), "\n\n")
     return lists.select("pack_id", F.concat(F.lit("# "), F.col("pack_id").cast("string"), F.lit("\n\n"), contents, F.lit("\n\n"), body, F.lit("\n")).alias("markdown"))
+
+
+def bundle(items: DataFrame) -> DataFrame:
+    """items (pack_id, sort_index, title, extension, byte_count, sha256) to the files of each pack's bundle, in order: a name
+    that no other file of it has, and what an export's manifest says of it.
+
+    A name is the place and the title's slug, so equal titles and titles without a letter differ by place.
+    """
+    place = F.row_number().over(Window.partitionBy("pack_id").orderBy("sort_index", "title", "sha256"))
+    name = F.concat_ws("-", F.lpad(place.cast("string"), 4, "0"), F.nullif(slug(F.coalesce("title", F.lit(""))), F.lit("")))
+    return items.select("pack_id", place.cast("long").alias("place"), F.concat(F.lit("attachments/"), name, F.lit("."), "extension").alias("relative_path"), "byte_count", "sha256")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quirework.operators.fold import folded
+
 #: The transitions, as (command, result, from states).
 PACK_MOVES = (
     ("start-processing", "processing", ("draft",)),
@@ -61,16 +63,17 @@ def transition(moves: tuple, state: Column, command: Column) -> Column:
 def replay(commands: DataFrame, moves: tuple, start: str) -> DataFrame:
     """commands (key, seq, command) to key, state, rejected, commands: each key's commands in order of seq, such that aren't allowed left out.
 
-    A fold over the key's own ordered list; a command's place depends on all before it. Ties go by command.
+    A fold, as a command's place depends on all before it; a task holds one key's state at a time, not its commands.
+    Ties go by command.
     """
-    lists = commands.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("seq", "command"))).alias("c"))
-    begin = F.struct(F.lit(start).alias("state"), F.lit(0).cast("long").alias("rejected"))
+    table = {(source, name): to for name, to, sources in moves for source in sources}
 
-    def step(a: Column, x: Column) -> Column:
-        to = transition(moves, a["state"], x["command"])
-        return F.struct(F.coalesce(to, a["state"]).alias("state"), (a["rejected"] + to.isNull().cast("long")).alias("rejected"))
+    def step(state: tuple, r) -> tuple:
+        to = table.get((state[0], r.command))
+        return ((to, state[1]) if to else (state[0], state[1] + 1)), None
 
-    return lists.select("key", F.aggregate("c", begin, step).alias("r"), F.size("c").cast("long").alias("commands")).select("key", "r.state", "r.rejected", "commands")
+    kind = dict(commands.dtypes)["key"]
+    return folded(commands.select("key", "seq", "command"), "key", ["seq", "command"], lambda: (start, 0), step, lambda key, state, n: (key, state[0], state[1], n), f"key {kind}, state string, rejected long, commands long")
 
 
 def restore_checkpoint(state: Column, checkpoint: Column) -> Column:

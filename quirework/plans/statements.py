@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quirework.operators import dedup, files
+from quirework.operators import dedup, files, pages, privacy
 from quirework.operators import tables as K
 from quirework.plans.relational import CUTOFF, NOW
 from quirework.plans.relational import query as query
+from quirework.streaming import events as E
 
 #: A moment that some of the changes below are made at, between those of the tables.
 LATER = "1996-06-01T00:00:00Z"
@@ -581,3 +582,46 @@ def garbage(artifacts: DataFrame, references: DataFrame, imports: DataFrame, jou
     away = imports.select(F.concat(F.lit("Quarantine/"), F.col("import_id").cast("string")).alias("path"), millis.alias("modified_ms"))
     recovering = journal.filter("phase = 'discovered'").select("pack_id")
     return files.cleanup(own.unionByName(away), artifacts, references, 883_612_800_000, recovering)
+
+
+@query(
+    """SELECT user_id AS ingestion_id, arg_max(event_id % 7, rank * 1000000 + event_id) AS pack_id, arg_max(phase, rank * 1000000 + event_id) AS phase, max(rank * 1000000 + event_id) % 1000000 AS updated_at FROM (
+         SELECT *, CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 WHEN 'signup' THEN 3 WHEN 'purchase' THEN 4 ELSE 0 END AS rank, CASE event_type WHEN 'view' THEN 'discovered' WHEN 'click' THEN 'handoff-started' WHEN 'signup' THEN 'files-published' WHEN 'purchase' THEN 'database-committed' END AS phase FROM events) WHERE rank > 0 GROUP BY user_id""",
+    "events",
+)
+def journal_phases(events: DataFrame) -> DataFrame:
+    """Events as entries of a user's recovery; one kind is no phase."""
+    phase = F.when(F.col("event_type") == "view", "discovered").when(F.col("event_type") == "click", "handoff-started").when(F.col("event_type") == "signup", "files-published").when(F.col("event_type") == "purchase", "database-committed").otherwise("unknown")
+    entries = events.select(F.col("user_id").alias("ingestion_id"), (F.col("event_id") % 7).alias("pack_id"), phase.alias("phase"), F.col("event_id").alias("updated_at"), F.lit(None).cast("string").alias("error_code"))
+    return E.recovery_journal(entries).select("ingestion_id", "pack_id", "phase", "updated_at")
+
+
+@query(
+    """WITH turns AS (SELECT conv_id, turn, max(turn) OVER (PARTITION BY conv_id) + 3 AS pages FROM conversations),
+       bad AS (SELECT DISTINCT conv_id FROM turns WHERE conv_id % 5 = 0 OR (conv_id % 5 = 1 AND turn % 4 <> 1 AND turn % 3 = 0)),
+       whole AS (SELECT DISTINCT conv_id, CAST(unnest(range(pages)) AS BIGINT) AS page FROM turns)
+       SELECT w.conv_id AS task_id, w.page AS page_index, NULL AS error_code FROM whole w WHERE w.conv_id NOT IN (SELECT conv_id FROM bad)
+         AND NOT EXISTS (SELECT 1 FROM turns t WHERE t.conv_id = w.conv_id AND t.turn = w.page AND NOT (t.turn % 4 = 1 AND t.turn % 3 = 0 AND t.conv_id % 5 = 1))
+       UNION ALL SELECT conv_id, NULL, 'PDF_RESULT_INVALID' FROM bad""",
+    "conversations",
+)
+def page_recovery(turns: DataFrame) -> DataFrame:
+    """Conversations as documents with three pages more than turns, whose turns are committed pages, some failed; some
+    checkpoints are of another document, and some tasks retry pages of which not all failed."""
+    counts = turns.groupBy(F.col("conv_id").alias("task_id")).agg((F.max("turn") + 3).cast("long").alias("page_count"))
+    tasks = counts.select("task_id", F.lit("a").alias("sha256"), F.lit("latin").alias("script"), "page_count")
+    rows = turns.select(F.col("conv_id").alias("task_id"), F.col("turn").cast("long").alias("page_index")).join(counts, "task_id")
+    committed = rows.select("task_id", F.when(F.col("task_id") % 5 == 0, "b").otherwise("a").alias("sha256"), F.lit("latin").alias("script"), "page_count", "page_index", F.when(F.col("page_index") % 4 == 1, "failed").otherwise("complete").alias("status"))
+    retries = rows.filter("task_id % 5 = 1 and page_index % 3 = 0").select("task_id", "page_index")
+    return pages.remaining_pages(tasks, committed.dropDuplicates(["task_id", "page_index"]), retries)
+
+
+@query(
+    """SELECT conv_id AS pack_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, sha256(coalesce(text, ''))) AS place, 'attachments/' || lpad(CAST(row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, sha256(coalesce(text, ''))) AS VARCHAR), 4, '0') || '-' || role || '.txt' AS relative_path,
+         CAST(strlen(coalesce(text, '')) AS BIGINT) AS byte_count, sha256(coalesce(text, '')) AS sha256 FROM conversations""",
+    "conversations",
+)
+def attachment_bundle(turns: DataFrame) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    rows = turns.select(F.col("conv_id").alias("pack_id"), F.col("turn").alias("sort_index"), F.col("role").alias("title"), F.lit("txt").alias("extension"), F.octet_length(text).cast("long").alias("byte_count"), F.sha2(text, 256).alias("sha256"))
+    return privacy.bundle(rows)
