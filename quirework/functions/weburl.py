@@ -18,7 +18,7 @@ NO_HOST = re.compile(r"[\x00-\x20\"#%/:<>?@\[\\\]^`{|}\x7f]")
 PORTS = {"http": "80", "https": "443"}
 
 #: A plain address: lower-case host of letters and digits, no dot segments, nothing that is to be encoded.
-_PLAIN = r"^https?://(?:[!$&-,.0-9;=A-Z_a-z~:%-]*@)?[a-z0-9-]+(?:\.[a-z0-9-]+)*(?::[1-9][0-9]*)?(?:/[!$-;=@-\[\]_a-z|~]*)?(?:\?[!$-&(-;=?-~]*)?(?:#[!$-;=?-_a-z{-~]*)?$"
+_PLAIN = r"^https?://(?:[!$&-,.0-9;=A-Z_a-z~:%-]*@)?[a-z0-9-]+(?:\.[a-z0-9-]+)*(?::[1-9][0-9]{0,3})?(?:/[!$-;=@-\[\]_a-z|~]*)?(?:\?[!$-&(-;=?-~]*)?(?:#[!$-;=?-_a-z{-~]*)?$"
 _DOTS = r"(?i)/(?:\.|%2e){1,2}(?:[/?#]|$)"
 _NUMBER_END = r"^https?://(?:[^/?#]*@)?[^/?#:]*[0-9](?::[0-9]+)?(?:[/?#]|$)"
 

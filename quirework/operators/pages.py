@@ -97,7 +97,7 @@ def pdf_envelope(content: Column) -> Column:
 def pdf_encrypted(content: Column) -> Column:
     """Whether the last trailer of a PDF, or the dictionary of its last cross-reference stream, names /Encrypt."""
     tail = F.decode(F.right(content, F.lit(65_536)), "ISO-8859-1")
-    last = F.regexp_extract(tail, r"(?s).*(?:\btrailer\b|/Type\s*/XRef\b)(.*?)(?:startxref|$)", 0)
+    last = F.regexp_extract(tail, r"(?s).*(?:\btrailer\b|/Type\s*/XRef\b)(.*?)(?:startxref|$)", 1)
     return F.coalesce(last.rlike(r"/Encrypt\b"), F.lit(False))
 
 
