@@ -351,3 +351,30 @@ def token_estimate(docs: DataFrame) -> DataFrame:
 def markdown_pack(turns: DataFrame) -> DataFrame:
     rows = turns.select(F.col("conv_id").alias("pack_id"), F.col("turn").alias("sort_index"), F.concat(F.lit("Turn "), F.col("turn").cast("string")).alias("title"), "text", F.lit("prose").alias("kind"))
     return privacy.markdown(rows).select("pack_id", F.md5(F.col("markdown").cast("binary")).alias("markdown_md5"))
+
+
+@query(
+    f"""SELECT page_id, regexp_matches(url, '^https?://[^/?#]*[^/?#@:]') AS web, CASE WHEN length(t) BETWEEN 1 AND 120 THEN t END AS title, page_id % 3 <> 0 AS canonical FROM (
+          SELECT page_id, url, regexp_replace('\t ' || left(html, CAST(page_id % 130 AS INTEGER)) || ' ', '^[{_B}]+|[{_B}]+$', '', 'g') AS t FROM pages)""",
+    "pages",
+)
+def page_labels(rows: DataFrame) -> DataFrame:
+    """Whether addresses are web addresses, a bounded title of each page, and identifiers, some spoiled."""
+    title = F.concat(F.lit("\t "), F.left("html", (F.col("page_id") % 130).cast("int")), F.lit(" "))
+    made = F.when(F.col("page_id") % 3 == 0, F.upper(U.uuid_of(F.col("url"), F.lit("A")))).otherwise(U.uuid_of(F.col("url"), F.col("html")))
+    return rows.select("page_id", U.is_web_url(F.col("url")).alias("web"), U.bounded_text(title, 120).alias("title"), C.is_uuid(F.when(F.col("page_id") % 3 == 0, F.concat(made, F.lit("A"))).otherwise(made)).alias("canonical"))
+
+
+@query(
+    """SELECT vec_id, round(CASE WHEN len(good) > 0 THEN greatest(0, least(1, list_sum(good) / len(good))) END, 9) AS confidence, len(list_filter(e, lambda x: x < 0.5)) > 0 AS low,
+         round(greatest(0, least(100, e[1] * 400)) / 100, 9) AS x, round(1 - greatest(0, least(50, e[2] * 100 + 20)) / 50, 9) AS y, round(least(2200.0 / greatest(1000 + vec_id, 800), sqrt(CASE WHEN vec_id % 2 = 0 THEN 4000000.0 ELSE 8000000.0 END / ((1000 + vec_id) * 800.0))), 9) AS scale
+       FROM (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS e, list_filter(list_transform(embedding, lambda x: CAST(x AS DOUBLE)), lambda x: x >= 0) AS good FROM embeddings)""",
+    "embeddings",
+)
+def ocr_numbers(vectors: DataFrame) -> DataFrame:
+    """Vectors as confidences of lines and bounds of blocks: means, flags, bounds flipped and cut, and the scale to draw a page at."""
+    e = F.transform("embedding", lambda x: x.cast("double"))
+    at = lambda i: F.get(e, F.lit(i))
+    b = pages.normalized_bounds(at(0) * 400, at(1) * 100, F.lit(10.0), F.lit(20.0), F.lit(100), F.lit(50), flipped=True)
+    scale = pages.render_scale((F.col("vec_id") + 1000).cast("double"), F.lit(800.0), F.col("vec_id") % 2 == 0)
+    return vectors.select("vec_id", F.round(pages.block_confidence(e), 9).alias("confidence"), pages.low_confidence(e).alias("low"), F.round(b["x"], 9).alias("x"), F.round(b["y"], 9).alias("y"), F.round(scale, 9).alias("scale"))
