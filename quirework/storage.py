@@ -4,14 +4,25 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: Paths of the tables that each open scope has written, the innermost last.
+_scopes: list[list[str]] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or (where that is unset, as in tests) one of our own."""
+    """The folder all executors share: spark.checkpoint.dir, or (where that is unset, as in tests) one of our own.
+
+    On a cluster there is none of our own: its machines would each write to a disk that the others don't see.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='quirework-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -20,10 +31,23 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and return it reread: lineage ends there, and a lost executor loses nothing."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Tables written inside are deleted at its end, so nothing that is still to be computed may read them then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            remove(spark, path)
+
+
 def remove(spark: SparkSession, folder: str) -> None:
     """Delete a folder and what is in it."""
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
