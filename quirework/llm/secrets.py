@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import json
 import string
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -22,14 +23,16 @@ TOKEN = rf"(?<![{RUN}])(?=[A-Za-z_+/.~-]*+[0-9])[{RUN}]{{16,}}+={{0,2}}"
 PEM = r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]*+-----END [A-Z ]{0,40}PRIVATE KEY-----)?"
 #: A match is what lies before a candidate and the candidate; matches follow each other from the start of the text (\G keeps a
 #: search that fails from being begun again at every later place).
-CANDIDATE = rf"(?:{PEM}|{ASSIGNED}|{TOKEN})"
+BEARER = rf"(?<=\b[Bb]earer )[{RUN}]{{12,}}+={{0,2}}"
+CANDIDATE = rf"(?:{PEM}|{ASSIGNED}|{TOKEN}|{BEARER})"
 MATCH = rf"(?s)\G.*?({CANDIDATE})"
 #: What of a candidate is the secret: all but the name that it is assigned to.
 VALUE = rf"(?s)^(?:{NAME})?(.*)$"
 #: Code points before a candidate whose words count.
 NEAR = 40
 
-#: Words whose letters count as dictionary text inside a candidate.
+#: Words of paths, code and addresses. With the words that a corpus says most often they are the dictionary
+#: whose letters count as text inside a candidate.
 WORDS = (
     "about", "admin", "alpha", "and", "application", "archive", "article", "asset", "author", "beta", "blog", "book",
     "build", "cache", "category", "change", "check", "class", "client", "com", "commit", "config", "content", "core",
@@ -69,8 +72,8 @@ def _quoted(s: str) -> str:
     return "r'" + s.replace("'", r"\x27") + "'"
 
 
-def _features(x: str) -> str:
-    """SQL: the struct of features of a candidate x, all double."""
+def _features(x: str, words: tuple[str, ...]) -> str:
+    """SQL: the struct of features of a candidate x, all double; words are the dictionary."""
     v, near, n = f"{x}.value", f"{x}.near", f"cast({x}.length as double)"
     share = lambda pattern: f"regexp_count({v}, {_quoted(pattern)}) / {n}"
     parts = {
@@ -79,9 +82,9 @@ def _features(x: str) -> str:
         "digits": share("[0-9]"),
         "uppers": share("[A-Z]"),
         "symbols": share("[^A-Za-z0-9]"),
-        "variety": f"size(array_distinct(split(substring({v}, 1, 200), ''))) / least({n}, 200D)",
+        "variety": f"size(array_distinct(split({v}, ''))) / least({n}, 200D)",
         "hex": f"case when {v} rlike r'^[0-9a-fA-F-]+$' then 1 else 0 end",
-        "covered": f"1 - char_length(regexp_replace({v}, {_quoted('(?i)(' + '|'.join(sorted(WORDS, key=len, reverse=True)) + ')')}, '')) / {n}",
+        "covered": f"1 - char_length(regexp_replace({v}, {_quoted('(?i)(' + '|'.join(sorted(words, key=lambda w: (-len(w), w))) + ')')}, '')) / {n}",
         "slashes": f"least(regexp_count({v}, '/'), 10)",
         "dots": f"least(regexp_count({v}, r'[.]'), 10)",
         "in_path": f"case when {near} rlike r'(://|www[.]|[/=?&#~])[^ ]*$' and not {near} rlike r'[ \"=:]$' then 1 else 0 end + case when {v} rlike r'[.][a-z]{{2,4}}$|^[/.~]' then 1 else 0 end",
@@ -140,7 +143,7 @@ def _tree_sql(tree, f: str) -> str:
     return f"case when {f}.{FEATURES[at]} <= {cut!r}D then {_tree_sql(low, f)} else {_tree_sql(high, f)} end"
 
 
-def forest_sql(forest: list, f: str) -> str:
+def forest_sql(forest: list | tuple, f: str) -> str:
     """SQL: the mean of the trees over the struct of features f."""
     return "(" + " + ".join(_tree_sql(t, f) for t in forest) + f") / {len(forest)}D"
 
@@ -148,9 +151,10 @@ def forest_sql(forest: list, f: str) -> str:
 # Labelled findings.
 
 
-def labelled_findings(rows: int = 2_400, seed: int = 3) -> list[tuple[str, str, int]]:
+def labelled_findings(rows: int = 2_400, seed: int = 3, without: int | None = None, only: int | None = None) -> list[tuple[str, str, int]]:
     """(candidate, text before it, 1 if a secret), made by rule: keys, tokens and passwords where code and notes have
-    them, against digests, ids, numbers, addresses, paths, versions and placeholders."""
+    them, against digests, ids, numbers, addresses, paths, versions and placeholders. Kinds are numbered, secrets first:
+    one can be left out, or be the only one, to see how a forest does on kinds that it was not shown."""
     rng = np.random.default_rng(seed)
     pick = lambda options: options[int(rng.integers(len(options)))]
     chars = lambda alphabet, n: "".join(alphabet[i] for i in rng.integers(0, len(alphabet), n))
@@ -189,10 +193,13 @@ def labelled_findings(rows: int = 2_400, seed: int = 3) -> list[tuple[str, str,
         lambda: ("+" + chars(digits, 2) + "-" + chars(digits, 3) + "-555-" + chars(digits, 6), pick(("phone ", "call ", "fax: ", ""))),
         lambda: (chars(lower + upper, int(rng.integers(14, 30))) + chars(digits, 1), prose() + " "),
     )
+    kinds = [(1, k) for k in secrets] + [(0, k) for k in others]
+    chosen = [k for i, k in enumerate(kinds) if i != without and (only is None or i == only)]
     out = []
     for i in range(rows):
-        label = i % 2
-        value, before = pick(secrets if label else others)()
+        own = [k for label, k in chosen if only is not None or label == i % 2]
+        label = i % 2 if only is None else chosen[0][0]
+        value, before = pick(own)()
         out.append((value, (prose() + pick((" ", "\n", "  ")) + before)[-NEAR:], label))
     return out
 
@@ -204,7 +211,26 @@ def findings_table(spark: SparkSession, findings: list[tuple[str, str, int]]) ->
     return spark.range(1).select(F.explode(parsed).alias("r")).select("r.*")
 
 
-def train(findings: DataFrame, most: int = 10_000, trees: int = 24, seed: int = 5) -> list:
+@dataclass(frozen=True)
+class Forest:
+    """Trees over the features of candidates, and the dictionary that one of the features is by."""
+
+    trees: tuple
+    words: tuple[str, ...] = WORDS
+
+
+def learn_words(docs: DataFrame, most: int = 400, shortest: int = 4, longest: int = 12) -> tuple[str, ...]:
+    """The words of `shortest` to `longest` letters a to z that most documents say, `most` of them, ties by word.
+
+    Every document is counted, a word once in each; tasks add up before they shuffle, a row a word. Null and empty texts
+    say none.
+    """
+    own = docs.select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(rf"(?<![a-z])[a-z]{{{shortest},{longest}}}(?![a-z])"), F.lit(0)))).alias("word"))
+    found = own.groupBy("word").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "word").limit(most).collect()
+    return tuple(r["word"] for r in found)
+
+
+def train(findings: DataFrame, words: tuple[str, ...] = WORDS, most: int = 10_000, trees: int = 24, seed: int = 5) -> Forest:
     """A forest from labelled findings (value, near, label 0 or 1), of which at most `most`, by hash, are used.
 
     Rows with a null or empty value or a null label teach nothing; near may be null. Without rows of both labels all
@@ -212,24 +238,24 @@ def train(findings: DataFrame, most: int = 10_000, trees: int = 24, seed: int =
     """
     usable = findings.filter((F.length("value") > 0) & F.col("label").isin(0, 1)).select("value", F.coalesce("near", F.lit("")).alias("near"), "label")
     usable = usable.orderBy(F.xxhash64("value", "near"), "value", "near", "label").limit(most)
-    found = usable.select(F.struct("value", "near", F.length("value").cast("long").alias("length")).alias("x"), "label").select(F.expr(_features("x")).alias("f"), "label").collect()
+    found = usable.select(F.struct("value", "near", F.length("value").cast("long").alias("length")).alias("x"), "label").select(F.expr(_features("x", words)).alias("f"), "label").collect()
     x = np.array([[r["f"][k] for k in FEATURES] for r in found], float).reshape(-1, len(FEATURES))
     y = np.array([r["label"] for r in found])
-    return grow_forest(x, y, trees, seed=seed) if len(set(y.tolist())) == 2 else [1.0]
+    return Forest(tuple(grow_forest(x, y, trees, seed=seed)) if len(set(y.tolist())) == 2 else (1.0,), words)
 
 
-def findings(forest: list, text: str = "text") -> Column:
+def findings(forest: Forest, text: str = "text") -> Column:
     """array<struct<start, length, value, near, score>>: the candidates of a text and the forest's score of each."""
-    features = f"transform({_candidates(text)}, x -> named_struct('x', x, 'f', {_features('x')}))"
-    scored = f"transform({features}, c -> named_struct('start', c.x.start, 'length', c.x.length, 'value', c.x.value, 'near', c.x.near, 'score', {forest_sql(forest, 'c.f')}))"
+    features = f"transform({_candidates(text)}, x -> named_struct('x', x, 'f', {_features('x', forest.words)}))"
+    scored = f"transform({features}, c -> named_struct('start', c.x.start, 'length', c.x.length, 'value', c.x.value, 'near', c.x.near, 'score', {forest_sql(forest.trees, 'c.f')}))"
     return F.expr(scored)
 
 
-def scan(docs: DataFrame, forest: list, least: float = 0.5) -> DataFrame:
+def scan(docs: DataFrame, forest: Forest, least: float = 0.5) -> DataFrame:
     """The secrets of whole texts, a row a secret.
 
     docs: doc_id, text; other columns are ignored. Candidates are private keys, values assigned to a name such as
-    `token`, and runs of 16 or more characters with a digit; they don't overlap. Those that the forest scores under least
+    `token`, runs of 16 or more characters with a digit, and such of 12 after `Bearer`; they don't overlap. Those that the forest scores under least
     are taken for false positives. Null and empty texts have none; rows that repeat are scanned each; an empty table
     gives no rows. Returns doc_id, start (code points before it), length, score, secret_sha256.
     """
@@ -237,7 +263,7 @@ def scan(docs: DataFrame, forest: list, least: float = 0.5) -> DataFrame:
     return found.select("doc_id", "s.start", "s.length", "s.score", F.sha2("s.value", 256).alias("secret_sha256"))
 
 
-def redact(docs: DataFrame, forest: list, least: float = 0.5, mark: str = "[REDACTED_SECRET]") -> DataFrame:
+def redact(docs: DataFrame, forest: Forest, least: float = 0.5, mark: str = "[REDACTED_SECRET]") -> DataFrame:
     """docs with every secret in text replaced by mark; the columns are those of docs, n_chars, if there, follows the text."""
     own = F.filter(findings(forest), lambda x: x["score"] >= least)
     spans = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("whole"), docs["text"].alias("text"), own.alias("spans"))
@@ -252,9 +278,11 @@ def redact(docs: DataFrame, forest: list, least: float = 0.5, mark: str = "[REDA
     return cleaned.select(*[new.get(c, F.col("whole")[c]).alias(c) for c in docs.columns])
 
 
-def default_forest(spark: SparkSession) -> list:
-    return train(findings_table(spark, labelled_findings()))
+def default_forest(spark: SparkSession, docs: DataFrame) -> Forest:
+    """A forest from the findings that are labelled by rule, with a dictionary of our own words and those of docs."""
+    return train(findings_table(spark, labelled_findings()), tuple(sorted({*WORDS, *learn_words(docs)})))
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(spark.read.parquet(f"{sf_dir}/documents.parquet"), default_forest(spark))
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return scan(docs, default_forest(spark, docs))
