@@ -12,8 +12,10 @@ START, END = "<|im_start|>", "<|im_end|>"
 #: What a text must not hold as it is: a head, any backslashes, and a rest that makes a control string of a usual template.
 CONTROL = r"([<\[])(\\*)(\||/?s>|<SYS>>|</SYS>>|/?INST\])"
 ESCAPED = r"([<\[])\\(\\*)(\||/?s>|<SYS>>|</SYS>>|/?INST\])"
-#: What counts as a token of a text: a run of letters, up to three digits, or another character that isn't blank.
-TOKEN = r"\p{L}+|\p{N}{1,3}|[^\s\p{L}\p{N}]"
+#: What counts as a token of the ASCII characters of a text: up to eight letters, up to three digits, or another one that
+#: isn't blank. Other characters count a token for each of their UTF-8 bytes, the most that byte-level vocabularies make
+#: of them, so unspaced scripts fill a window no less than spaced ones.
+TOKEN, OTHER = r"[A-Za-z]{1,8}|[0-9]{1,3}|[!-/:-@\[-`{-~\x00-\x08\x0E-\x1F\x7F]", r"[\x00-\x7F]"
 #: Tokens that a turn's marks take.
 MARKS = 4
 #: Turns whose numbers share this quotient are numbered together; a long conversation has many such blocks.
@@ -47,7 +49,8 @@ def _numbered(turns: DataFrame) -> DataFrame:
     Running sums go block by block, so no task holds all rows of a long conversation.
     """
     rows = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = rows.withColumn("tokens", (F.regexp_count("text", F.lit(TOKEN)) + MARKS).cast("long"))
+    beyond = F.octet_length("text") - F.regexp_count("text", F.lit(OTHER))
+    rows = rows.withColumn("tokens", (F.regexp_count("text", F.lit(TOKEN)) + beyond + MARKS).cast("long"))
     rows = rows.withColumn("block", F.coalesce(F.floor(F.col("turn") / TURNS_PER_BLOCK), F.lit(2**62)).cast("long"))
     order = F.struct(F.col("turn").isNull(), "turn", "role", "text")
     blocks = rows.groupBy("conv_id", "block").agg(F.count("*").alias("n"), F.sum("tokens").alias("sum"), F.min_by(F.struct("role", "text", "tokens"), order).alias("first"))
@@ -82,6 +85,7 @@ def format_windows(turns: DataFrame, budget: int = 1024, history: int = 192) ->
     conversation are cut into strides, a turn belongs to the stride in which it starts, and the one turn that may pass
     the end of its stride opens a window of its own where it would pass the budget. Only a turn that is over the budget
     with its system turn makes a window that is. The loss mask covers each assistant text once.
+    Tokens are bounds of our own (see TOKEN), not those of one vocabulary.
 
     Rows go by turn, null last, then role and text; null texts and roles are empty; null conv_id is a conversation; an
     empty table gives no windows. Returns conv_id, window (a number that orders a conversation's windows), formatted,
