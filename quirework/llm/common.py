@@ -7,9 +7,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quirework.storage import discard, remove, shared_dir, written
+from quirework.storage import discard, remove, shared_dir, temporary, written
 
-__all__ = ["WORD", "discard", "held_out", "id_parts", "keys_of_partitions", "remove", "shared_dir", "written"]
+__all__ = ["WORD", "discard", "held_out", "id_parts", "keys_of_partitions", "remove", "shared_dir", "temporary", "written"]
 
 #: A word: a run of anything but the six ASCII blanks.
 WORD = r"[^\x20\x09-\x0D]+"
