@@ -109,6 +109,20 @@ def test_chat_reads_back(spark, sf):
     assert all(r["formatted"].startswith("<|im_start|>system\nrule") for r in own) and all(r["context_turns"] > 1 for r in own[1:])
 
 
+def test_windows_of_any_script_keep_the_budget(spark, monkeypatch):
+    monkeypatch.setattr(chat, "TURNS_PER_BLOCK", 4)
+    rng = random.Random(3)
+    alphabets = ["的一是不了人我在有他", "กขคงจฉชซ", "abc ", "0123456789", "😀é ", "слово "]
+    turns = [(c, i, ("system", "user", "assistant")[0 if i == 0 and c % 2 else 1 + i % 2], "".join(rng.choices(alphabets[c], k=rng.randrange(0, 120)))) for c in range(6) for i in range(40)]
+    windows = chat.format_windows(spark.createDataFrame(turns, "conv_id long, turn long, role string, text string"), budget=600, history=100)
+    rows = windows.collect()
+    assert all(r["tokens"] <= 600 for r in rows) and len(rows) > 30
+    # No vocabulary makes more tokens of what isn't ASCII than it has bytes.
+    assert all(sum(len(ch.encode()) for ch in r["formatted"] if not ch.isascii()) <= r["tokens"] for r in rows)
+    got = {r["conv_id"]: (r["n_turns"], r["turns_sha256"], r["loss_chars"], r["loss_sha256"]) for r in chat.digests(windows).collect()}
+    assert got == chat_brute(turns)
+
+
 def test_chat_of_nothing(spark):
     assert chat.digests(chat.format_windows(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).collect() == []
 
@@ -219,14 +233,44 @@ def test_simhash_of_odd_and_empty_tables(odd, empty):
 
 @pytest.fixture(scope="module")
 def forest(spark):
-    return secrets.default_forest(spark)
+    return secrets.default_forest(spark, spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
+
+
+def featured(spark, rows, forest):
+    held = secrets.findings_table(spark, rows)
+    x = held.select(F.struct("value", "near", F.length("value").cast("long").alias("length")).alias("x"), "label").select(F.expr(secrets._features("x", forest.words)).alias("f"), "label")
+    found = x.select("f", "label", F.expr(secrets.forest_sql(forest.trees, "f")).alias("sql")).collect()
+    scores = np.array([np.mean([secrets.predict(t, [r["f"][k] for k in secrets.FEATURES]) for t in forest.trees]) for r in found])
+    # The forest in SQL says what its trees say.
+    assert np.allclose(scores, [r["sql"] for r in found])
+    return scores, np.array([r["label"] for r in found])
 
 
 def test_forest_on_held_out_findings(spark, forest):
-    held = secrets.findings_table(spark, secrets.labelled_findings(600, seed=99))
-    x = held.select(F.struct("value", "near", F.length("value").cast("long").alias("length")).alias("x"), "label").select(F.expr(secrets._features("x")).alias("f"), "label").collect()
-    scores = np.array([np.mean([secrets.predict(t, [r["f"][k] for k in secrets.FEATURES]) for t in forest]) for r in x])
-    assert ((scores >= 0.5) == np.array([r["label"] for r in x])).mean() > 0.93
+    scores, labels = featured(spark, secrets.labelled_findings(600, seed=99), forest)
+    assert ((scores >= 0.5) == labels).mean() > 0.93
+
+
+def test_forest_on_kinds_it_was_not_shown(spark, forest):
+    right = {}
+    for kind in range(25):
+        own = secrets.train(secrets.findings_table(spark, secrets.labelled_findings(1_200, without=kind)), forest.words)
+        scores, labels = featured(spark, secrets.labelled_findings(60, seed=50 + kind, only=kind), own)
+        right[kind] = ((scores >= 0.5) == labels).mean()
+    print({k: round(float(v), 2) for k, v in right.items()})
+    assert np.mean([right[k] for k in range(10)]) > 0.7 and np.mean([right[k] for k in range(10, 25)]) > 0.7
+
+
+def test_words_are_counted_over_all_documents(spark, odd, empty):
+    docs = spark.createDataFrame([("Alpha beta gamma alpha",), ("alpha delta",), (None,), ("",), ("Beta x1beta2 épsilon",)], "text string")
+    assert secrets.learn_words(docs, 3) == ("alpha", "beta", "delta")
+    assert secrets.learn_words(empty) == () and secrets.learn_words(odd) == ("word",)
+
+
+def test_letters_after_bearer_are_candidates(spark, forest):
+    text = "Authorization: Bearer " + "qWzXrTyPlMkNbV" + " and a bearer of news"
+    got = spark.createDataFrame([(text,)], "text string").select(F.explode(secrets.findings(forest)).alias("s")).select("s.value").collect()
+    assert [r["value"] for r in got] == ["qWzXrTyPlMkNbV"]
 
 
 def test_scan_is_brute_force(spark, docs, forest):
@@ -429,6 +473,27 @@ def test_langid_on_held_out_rows(spark):
     assert all(0 <= r["score"] <= 1 for r in rows)
 
 
+def test_languages_are_brute_force(spark, sf, docs):
+    net = langid.train(docs)
+    got = {r["doc_id"]: (r["lang_pred"], r["score"], r["held_out"]) for r in langid.op7_langid(spark, sf).collect()}
+    for r in docs.select("doc_id", "text").collect():
+        text = r["text"]
+        held = zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2
+        if not text or not any(c.isalpha() for c in text):
+            assert got[r["doc_id"]] == ("und", 0, held)
+            continue
+        windows = langid.windows_of(text.encode())
+        sums = np.zeros(len(net.langs))
+        for w in windows:
+            x = w[None]
+            pooled = [np.stack([net.embedding[x][:, i : i + n].reshape(1, -1) @ f for i in range(langid.WINDOW - n + 1)], 1).max(1) for n, f in zip(langid.WIDTHS, net.filters, strict=True)]
+            logits = np.maximum(np.concatenate(pooled, 1) + net.biases, 0) @ net.dense + net.offset
+            e = np.exp(logits - logits.max())
+            sums += (e / e.sum())[0] * (w != 32).sum()
+        lang, score, out = got[r["doc_id"]]
+        assert lang == net.langs[int(sums.argmax())] and score == pytest.approx(sums.max() / sums.sum(), abs=1e-3) and out == held
+
+
 def test_network_tables_are_the_convolution():
     net = langid.ByteCnn.fresh(["a", "b"], 1)
     x = np.random.default_rng(0).integers(0, 256, (3, langid.WINDOW)).astype(np.uint8)
@@ -640,6 +705,44 @@ def test_completion_beats_best_fit():
     assert used == Counter(counts)
 
 
+def fewest_bins(items, room):
+    """By trying every bin for every piece."""
+    best = len(items)
+
+    def place(i, bins):
+        nonlocal best
+        if len(bins) >= best:
+            return
+        if i == len(items):
+            best = len(bins)
+            return
+        for k in range(len(bins)):
+            if bins[k] + items[i] <= room and bins[k] not in bins[:k]:
+                place(i + 1, [*bins[:k], bins[k] + items[i], *bins[k + 1 :]])
+        place(i + 1, [*bins, items[i]])
+
+    place(0, [])
+    return best
+
+
+def test_packing_of_few_pieces_is_optimal():
+    rng = random.Random(14)
+    better = 0
+    for _ in range(150):
+        room = rng.choice((20, 50, 100))
+        items = sorted((rng.randint(1, room * 2 // 3) for _ in range(rng.randint(1, 13))), reverse=True)
+        counts = Counter(items)
+        plan = packing.complete_bins(counts, room)
+        had = Counter()
+        for filling, n in plan:
+            assert sum(filling) <= room
+            had.update({k: n * c for k, c in Counter(filling).items()})
+        used = sum(n for _, n in plan)
+        assert had == counts and used == fewest_bins(items, room)
+        better += used < sum(n for _, n in packing.best_fit(counts, room))
+    assert better
+
+
 def test_fillings_are_all_undominated_ones():
     rng = random.Random(11)
     for _ in range(200):
@@ -668,6 +771,27 @@ def test_packing_of_many_short_documents():
     assert sum(n for _, n in plan) <= packing.least_bins(counts, 1024) + 3 < sum(n for _, n in packing.best_fit(counts, 1024))
 
 
+def test_packing_in_many_buckets_and_chunks(spark, odd, monkeypatch):
+    monkeypatch.setattr(packing, "ROWS_PER_BUCKET", 3)
+    docs = odd.unionByName(spark.range(40).select(F.col("id").alias("doc_id"), F.lit("one two three").alias("text"), F.lit("en").alias("lang"), F.lit("s").alias("source"), F.lit(3).cast("long").alias("n_chars"), F.lit(1).alias("key"), F.lit("x").alias("part"), F.lit(2).alias("size"), F.lit(0.0).alias("score")))
+    rows = packing.pack(docs).collect()
+    by_bin = {}
+    for r in rows:
+        by_bin.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    for places in by_bin.values():
+        at = 0
+        for offset, length in sorted(places):
+            assert offset == at
+            at += length
+        assert at <= 1024
+    assert Counter(r["doc_id"] for r in rows if r["piece"] == 0) == Counter(r["doc_id"] for r in docs.collect())
+    ids = packing._tokenizer("byte_bpe_50k.json")
+    text = " ".join(f"word{'abc'[i % 3]}" for i in range(3000)) + " 中文 Ωmega\u200b " + "x y " * 500
+    whole = ids(text).tolist()
+    monkeypatch.setattr(packing, "CHUNK", 700)
+    assert ids(text).tolist() == whole
+
+
 def test_packing_of_odd_and_empty_tables(odd, empty):
     got = rows_of(packing.pack(odd))
     assert Counter(r["doc_id"] for r in got if r["piece"] == 0) == Counter(r["doc_id"] for r in odd.collect())
@@ -688,9 +812,59 @@ def test_pipeline_stages(spark, docs, tmp_path, sf):
         kept.append(now)
         if name != "pack_sequences":
             assert now.columns == docs.columns
-    assert kept[0].count() > 0.97 * docs.filter(F.col("text").rlike(r"\p{L}")).count()
-    assert {r["doc_id"] for r in kept[1].collect()} == {r["component_id"] for r in simhash.near_duplicates(kept[0]).collect()}
-    assert kept[2].filter(F.col("text").rlike('(?i)token = "[0-9a-f]{40}"')).count() == 0 and kept[2].count() == kept[1].count()
-    plan = {r["doc_id"]: r["taken"] for r in mixing.mix_plan(kept[2]).collect() if r["taken"]}
-    assert {r["doc_id"] for r in kept[3].collect()} == set(plan)
-    assert Counter(r["doc_id"] for r in kept[4].filter("piece = 0").collect()) == Counter(r["doc_id"] for r in kept[3].collect())
+    # Language ID: by the network's own word on each text.
+    net = langid.train(docs)
+    known = {r["doc_id"]: r["lang_pred"] for r in langid.identify(docs, net).collect() if r["lang_pred"] != "und" and r["score"] >= 0.4}
+    assert {r["doc_id"]: r["lang"] for r in kept[0].collect()} == known and len(known) > 0.97 * docs.filter(F.col("text").rlike(r"\p{L}")).count()
+    # Near duplicates: the least id of each class of fingerprints within three bits, all pairs compared.
+    fps = {r["doc_id"]: simhash_brute(r["text"]) for r in kept[0].collect()}
+    root = {d: d for d in fps}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in itertools.combinations(sorted(fps), 2):
+        if (fps[a] ^ fps[b]).bit_count() <= 3:
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    assert {r["doc_id"] for r in kept[1].collect()} == {find(d) for d in fps}
+    # Secrets: texts as before, but for what the scan finds.
+    forest, found = secrets.default_forest(spark, kept[1]), {}
+    for r in secrets.scan(kept[1], forest).collect():
+        found.setdefault(r["doc_id"], []).append((r["start"], r["length"]))
+    for r, s in zip(*(sorted(k.collect(), key=lambda x: x["doc_id"]) for k in kept[1:3]), strict=True):
+        text = r["text"]
+        for start, length in sorted(found.get(r["doc_id"], []), reverse=True):
+            text = text[:start] + "[REDACTED_SECRET]" + text[start + length :]
+        assert s["text"] == text and s["n_chars"] == len(text)
+    # Mixing: each text as often, and as far, as the plan takes words of it.
+    plan = {r["doc_id"]: (r["taken"], r["size"]) for r in mixing.mix_plan(kept[2]).collect() if r["taken"]}
+    texts = {r["doc_id"]: r["text"] for r in kept[2].collect()}
+    copies = {}
+    for r in kept[3].collect():
+        copies.setdefault(r["doc_id"], []).append(r["text"])
+    assert set(copies) == set(plan)
+    for d, own in copies.items():
+        taken, size = plan[d]
+        words = simhash_words(texts[d])
+        want = [words] * (taken // size) + ([words[: taken % size]] if taken % size else [])
+        assert sorted(map(simhash_words, own)) == sorted(want) and all(texts[d].startswith(x) for x in own)
+    # Packing: every piece of every copy, and no sequence over its room.
+    rows = kept[4].collect()
+    assert Counter(r["doc_id"] for r in rows if r["piece"] == 0) == Counter(r["doc_id"] for r in kept[3].collect())
+    full = Counter()
+    for r in rows:
+        full[r["sequence_id"]] += r["length"]
+    assert max(full.values()) <= 1024 and len(full) <= 1.02 * -(-sum(full.values()) // 1024) + 1
+
+
+def test_pipeline_of_odd_and_empty_tables(spark, odd, empty, docs, tmp_path):
+    import corpus_pipeline
+
+    odd.unionByName(docs, allowMissingColumns=True).write.parquet(f"{tmp_path}/odd/documents.parquet")
+    empty.write.parquet(f"{tmp_path}/none/documents.parquet")
+    rows = corpus_pipeline.run(spark, f"{tmp_path}/odd").collect()
+    assert {1, 4} <= {r["doc_id"] for r in rows}
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").collect() == []
