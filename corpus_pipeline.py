@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from quirework.llm import langid, secrets
-from quirework.llm.common import shared_dir
+from quirework.llm.common import remove, shared_dir, temporary
 from quirework.llm.mixing import mix_documents
 from quirework.llm.packing import pack
 from quirework.llm.simhash import keep_one
@@ -25,7 +25,7 @@ def simhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, their secrets replaced by a mark."""
-    return secrets.redact(docs, secrets.default_forest(spark))
+    return secrets.redact(docs, secrets.default_forest(spark, docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,10 +51,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages, from the documents table of sf_dir on."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages, from the documents table of sf_dir on; an empty table gives no rows.
+
+    A stage's table, and what the stage wrote on its way, is deleted when the next stage's is written.
+    """
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES[:-1]:
         path = f"{shared_dir(spark)}/pipeline-{name}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
-        docs = spark.read.parquet(path)
+        with temporary(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            remove(spark, before)
+        docs, before = spark.read.parquet(path), path
     return STAGES[-1][1](spark, docs, sf_dir)
