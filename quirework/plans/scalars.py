@@ -170,7 +170,14 @@ def page_methods(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "p.method", F.md5(F.col("p.text").cast("binary")).alias("text_md5"), F.array_join("p.warnings", ",").alias("warnings"), "p.status")
 
 
-@query("", "embeddings")
+@query(
+    """WITH RECURSIVE placed AS (SELECT vec_id, CAST(i AS VARCHAR) AS text, abs(CAST(embedding[2 * i + 1] AS DOUBLE)) AS x, abs(CAST(embedding[2 * i + 2] AS DOUBLE)) AS y FROM embeddings, range(8) r(i)),
+    listed AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY y, x, text) AS n FROM placed),
+    walk AS (SELECT vec_id, n, text, x, y, y AS anchor, 1 AS line FROM listed WHERE n = 1
+      UNION ALL SELECT l.vec_id, l.n, l.text, l.x, l.y, CASE WHEN l.y - w.anchor >= 0.01 THEN l.y ELSE w.anchor END, w.line + CASE WHEN l.y - w.anchor >= 0.01 THEN 1 ELSE 0 END FROM walk w JOIN listed l ON l.vec_id = w.vec_id AND l.n = w.n + 1)
+    SELECT vec_id, string_agg(text, E'\\n' ORDER BY line, x, y, text) AS text FROM walk GROUP BY vec_id""",
+    "embeddings",
+)
 def reading_order(vectors: DataFrame) -> DataFrame:
     """Eight blocks a vector, their places from its components."""
     block = lambda i: F.struct(i.cast("string").alias("text"), F.abs(F.get("embedding", i * 2)).cast("double").alias("x"), F.abs(F.get("embedding", i * 2 + 1)).cast("double").alias("y"), F.lit(0.1).alias("width"), F.lit(0.01).alias("height"))
@@ -301,7 +308,7 @@ def records_valid(docs: DataFrame) -> DataFrame:
     for kind, (schema, valid, good, change) in RECORDS.items():
         payloads = [good, good | {"schemaVersion": 2}, good | change, good | {"more": 1}]
         json_of = F.element_at(F.array(*[F.lit(json.dumps(p)) for p in payloads]), (F.col("doc_id") % 4 + 1).cast("int"))
-        rows = docs.select("doc_id", F.lit(kind).alias("kind"), json_of.alias("payload")).select("doc_id", "kind", C.decode(F.col("payload"), schema, valid)["error_code"].alias("error_code"))
+        rows = docs.select("doc_id", F.lit(kind).alias("kind"), json_of.alias("payload")).select("doc_id", "kind", C.decode(F.col("payload"), schema, valid, has_udf=kind == "page")["error_code"].alias("error_code"))
         out = rows if out is None else out.unionByName(rows)
     return out
 
