@@ -341,7 +341,21 @@ def pii_findings(docs: DataFrame) -> DataFrame:
     return privacy.findings(docs.select("doc_id", "text")).groupBy("doc_id", "category").agg(F.count("*").alias("findings"), F.sum("length").cast("long").alias("characters"))
 
 
-@query("", "documents")
+_CUT = " UNION ALL ".join(f"SELECT doc_id, {i} AS rank, '{c}' AS category, regexp_extract_all(text, '{_p}') AS vs, regexp_split_to_array(text, '{_p}') AS gaps FROM documents" for i, (c, _p) in enumerate((c, p.replace("'", "''")) for c, p in privacy.PATTERNS.items()))
+
+
+@query(
+    f"""WITH cut AS (SELECT * FROM ({_CUT}) WHERE len(vs) > 0),
+    found AS (SELECT doc_id, rank, category, vs[k] AS v, CAST(list_sum(list_transform(gaps[1:k], lambda g: length(g))) + coalesce(list_sum(list_transform(vs[1:k - 1], lambda w: length(w))), 0) AS BIGINT) AS start FROM (SELECT *, unnest(range(1, len(vs) + 1)) AS k FROM cut)),
+    spans AS (SELECT doc_id, rank, category, start, start + length(v) AS stop FROM found WHERE category <> 'payment-card' OR {_LUHN}),
+    marked AS (SELECT *, coalesce(max(stop) OVER (PARTITION BY doc_id ORDER BY start, stop DESC, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) <= start AS fresh FROM spans),
+    grouped AS (SELECT *, sum(CASE WHEN fresh THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY start, stop DESC, rank ROWS UNBOUNDED PRECEDING) AS g FROM marked),
+    stretches AS (SELECT doc_id, g, min(start) AS start, max(stop) AS stop, first(category ORDER BY start, stop DESC, rank) AS category FROM grouped GROUP BY doc_id, g),
+    chained AS (SELECT *, coalesce(lag(stop) OVER (PARTITION BY doc_id ORDER BY g), 0) AS before FROM stretches),
+    made AS (SELECT c.doc_id, string_agg(substr(d.text, before + 1, start - before) || '[REDACTED_' || upper(replace(category, '-', '_')) || ']', '' ORDER BY g) || substr(any_value(d.text), max(stop) + 1) AS text FROM chained c JOIN documents d USING (doc_id) GROUP BY c.doc_id)
+    SELECT d.doc_id, md5(coalesce(m.text, d.text)) AS text_md5 FROM documents d LEFT JOIN made m USING (doc_id)""",
+    "documents",
+)
 def pii_redacted(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.md5(privacy.redact(F.col("text")).cast("binary")).alias("text_md5"))
 
