@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quirework.llm.common import WORD, written
 
-#: Rows of one source that one window sorts, about: key ranges are cut finer as the input grows.
+#: Rows of one source in a range of keys, about: ranges are cut finer as the input grows.
 ROWS_PER_RANGE = 20_000
 
 
@@ -50,12 +50,15 @@ def _plan(sized: DataFrame, weights: tuple[float, ...], share: float, most_epoch
     budget = F.floor("target")
     sources = sources.withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size"))).otherwise(0).cast("long"))
     sources = written(sources.withColumn("rest", (budget - F.col("epochs") * F.col("source_size")).cast("long")), "mix-sources")
-    before = ranges.withColumn("before", F.sum("in_range").over(Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, 0)) - F.col("in_range"))
-    cut = before.join(sources.withColumnRenamed("source", "s"), before["source"].eqNullSafe(F.col("s"))).filter((F.col("before") <= F.col("rest")) & (F.col("rest") < F.col("before") + F.col("in_range")))
-    cut = cut.select(F.col("source").alias("c_source"), F.col("range").alias("c_range"), "before", "rest")
+    cut, depth = sources.filter("rest > 0").select(F.col("source").alias("c_source"), F.lit("").alias("c_range"), F.lit(0).cast("long").alias("before"), "rest"), 0
+    while depth < digits:
+        cut, depth = _descend(ranges.withColumnRenamed("in_range", "n"), cut, depth, min(depth + 2, digits)), min(depth + 2, digits)
     # Only the ranges that a budget ends in are sorted; rows of one id are summed before.
-    inside = sized.join(F.broadcast(cut) if _small(sources) else cut, sized["source"].eqNullSafe(F.col("c_source")) & (sized["range"] == F.col("c_range")))
-    inside = inside.groupBy("source", "key", "doc_id", "before", "rest").agg(F.sum("size").alias("size"))
+    few = _small(sources)
+    inside = sized.withColumnRenamed("size", "n").join(F.broadcast(cut) if few else cut, F.col("source").eqNullSafe(F.col("c_source")) & (F.col("range") == F.col("c_range")))
+    inside = written(inside.groupBy("source", "key", "doc_id").agg(F.sum("n").alias("n")).withColumn("range", F.col("key")), "mix-inside")
+    cut = _descend(inside, cut, depth, depth + 2)
+    inside = inside.join(F.broadcast(cut) if few else cut, F.col("source").eqNullSafe(F.col("c_source")) & F.col("key").startswith(F.col("c_range"))).withColumnRenamed("n", "size")
     upto = F.col("before") + F.sum("size").over(Window.partitionBy("source").orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
     inside = inside.withColumn("upto", upto).filter((F.col("upto") - F.col("size") <= F.col("rest")) & (F.col("rest") < F.col("upto")))
     inside = inside.select(F.col("source").alias("c_source"), F.col("key").alias("cut_key"), F.col("doc_id").alias("cut_id"), (F.col("rest") - F.col("upto") + F.col("size")).alias("cut_rest"), F.col("size").alias("cut_size"))
@@ -63,6 +66,19 @@ def _plan(sized: DataFrame, weights: tuple[float, ...], share: float, most_epoch
     return written(joined, "mix-plan")
 
 
+def _descend(rows: DataFrame, cut: DataFrame, depth: int, to: int) -> DataFrame:
+    """cut (c_source, c_range, before, rest: where a source's budget ends, in a range of keys told by depth digits) with ranges of `to` digits.
+
+    rows: source, range, n. A source's rows are summed by the digits that are new, so a window sorts 256 sums of a source, however many rows it has.
+    """
+    inside = rows.join(cut, F.col("source").eqNullSafe(F.col("c_source")) & (F.substring("range", 1, depth) == F.col("c_range")) if depth else F.col("source").eqNullSafe(F.col("c_source")))
+    sums = inside.groupBy("source", F.substring("range", 1, to).alias("part"), "before", "rest").agg(F.sum("n").alias("n"))
+    upto = F.col("before") + F.sum("n").over(Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, 0))
+    ends = sums.withColumn("upto", upto).filter((F.col("upto") - F.col("n") <= F.col("rest")) & (F.col("rest") < F.col("upto")))
+    ends = ends.select(F.col("source").alias("c_source"), F.col("part").alias("c_range"), (F.col("upto") - F.col("n")).alias("before"), "rest")
+    return written(ends, "mix-cut")
+
+
 def _small(sources: DataFrame) -> bool:
     """Whether a table with a row a source may be broadcast: at most 10,000 rows."""
     return sources.limit(10_001).count() <= 10_000
@@ -86,8 +102,8 @@ def mix_plan(docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: flo
     """How many words of each document a mix takes.
 
     docs: doc_id, text, source; other columns are ignored. Keys are hashes of seed and doc_id; within each source the
-    documents follow in key order, distributed prefix sums over key ranges find where the source's budget ends, and
-    the document there is taken in part. Budgets past a source's size take whole epochs first.
+    documents follow in key order, distributed prefix sums over key ranges, coarse ones first, find where the source's
+    budget ends, and the document there is taken in part. Budgets past a source's size take whole epochs first.
 
     Null text counts 0 words, null source is a source of its own and the last, rows of one doc_id stand together and
     share what is left at the cut in proportion. An empty table gives no rows. Returns doc_id, source, size,

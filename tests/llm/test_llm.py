@@ -72,6 +72,16 @@ def simhash_words(text):
     return re.findall(r"[^\x20\x09-\x0D]+", text or "")
 
 
+@pytest.mark.parametrize("rows_per_range", [1, 30])
+def test_mix_cuts_alike_however_fine_its_ranges(spark, docs, monkeypatch, rows_per_range):
+    hot = spark.range(900).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), F.pmod(F.xxhash64("id"), F.lit(9)).cast("int")).alias("text"), F.when(F.col("id") % 3 > 0, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 7)).alias("source"))
+    for table in (docs, hot):
+        monkeypatch.undo()
+        plain = sorted(map(tuple, mixing.mix_plan(table).collect()), key=repr)
+        monkeypatch.setattr(mixing, "ROWS_PER_RANGE", rows_per_range)
+        assert sorted(map(tuple, mixing.mix_plan(table).collect()), key=repr) == plain
+
+
 def test_mix_of_odd_and_empty_tables(odd, empty):
     rows = rows_of(mixing.mix_plan(odd))
     assert len(rows) == odd.count() and all(r["taken"] <= 2 * r["size"] for r in rows)
