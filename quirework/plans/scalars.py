@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ from quirework.operators.contracts import MANIFEST, decode, error_catalog, valid
 from quirework.plans.relational import ORACLE_SQL as _ORACLE
 from quirework.plans.relational import QUERIES as _QUERIES
 from quirework.plans.relational import query as _register
+from quirework.storage import shared_dir
 from quirework.streaming import events as E
 
 
@@ -231,6 +233,48 @@ def event_dedup(events: DataFrame) -> DataFrame:
     return E.first_events(rows, "ts", "event_id").select("id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss").alias("ts"), "event_id")
 
 
+def _deliver(lines: DataFrame, folder: str, batch, read=lambda inbox: inbox) -> None:
+    """Add lines (value) to the inbox in folder and have a stream give what is new there, as read makes it, to batch."""
+    lines.write.mode("append").text(f"{folder}/inbox")
+    inbox = read(lines.sparkSession.readStream.schema("value string").text(f"{folder}/inbox"))
+    stream = inbox.writeStream.foreachBatch(batch).trigger(availableNow=True)
+    stream.option("checkpointLocation", f"{folder}/offsets").start().awaitTermination()
+
+
+def _share_id() -> str:
+    """SQL of either dialect: an identifier that a user's events of one kind share."""
+    h = "md5('share' || CAST(user_id AS STRING) || ':' || event_type)"
+    return f"substr({h}, 1, 8) || '-' || substr({h}, 9, 4) || '-5' || substr({h}, 14, 3) || '-8' || substr({h}, 18, 3) || '-' || substr({h}, 21, 12)"
+
+
+@query(
+    f"""SELECT DISTINCT {_share_id()} AS id, CASE event_type WHEN 'error' THEN 'blockers' ELSE 'scans' END AS routed_to, event_type <> 'error' AS durable FROM events WHERE event_id % 11 <> 0
+        UNION ALL SELECT DISTINCT {_share_id()}, 'rejected', NULL FROM events WHERE event_id % 11 = 0""",
+    "events",
+)
+def event_routing(events: DataFrame) -> DataFrame:
+    """Events as share events in an inbox that a stream routes; errors are delivered again after what was acknowledged, some events are of another version.
+
+    Rows are what the stream's tables hold, rejected identifiers once each.
+    """
+    spark, error = events.sparkSession, F.col("event_type") == "error"
+    share = F.struct(
+        F.when(F.col("event_id") % 11 == 0, 2).otherwise(1).alias("schemaVersion"),
+        F.expr(_share_id()).alias("id"),
+        F.when(error, "failed").otherwise("complete").alias("result"),
+        F.when(error, F.lit(False)).alias("durable"),
+        F.when(error, "SHARE_IMPORT_FAILED").alias("code"),
+    )
+    folder = f"{shared_dir(spark)}/routing-{uuid.uuid4().hex}"
+    for delivered in (events.filter("event_type <> 'purchase'"), events.filter("event_type in ('purchase', 'error')")):
+        _deliver(delivered.select(F.to_json(share).alias("value")), folder, E.route_events(f"{folder}/out"))
+    table = lambda name: E.table_at(spark, f"{folder}/out/{name}", "id string, durable boolean, value string")
+    routed = [table(name).select("id", F.lit(name).alias("routed_to"), "durable") for name in ("scans", "blockers")]
+    acknowledged = table("acks").select(F.col("id").alias("a"))
+    rejected = table("rejected").select(F.get_json_object("value", "$.id").alias("id"), F.lit("rejected").alias("routed_to"), F.lit(None).cast("boolean").alias("durable")).distinct()
+    return routed[0].unionByName(routed[1]).join(acknowledged, F.col("id") == F.col("a")).drop("a").unionByName(rejected)
+
+
 @query(
     """SELECT CAST(e.user_id AS VARCHAR) AS key, max(CASE WHEN event_type = 'error' AND (done IS NULL OR event_id > done) THEN 1 ELSE 0 END) = 1 AS blocked,
          arg_max(code, event_id) FILTER (WHERE event_type = 'error' AND (done IS NULL OR event_id > done)) AS latest,
@@ -259,20 +303,43 @@ def lease_expiry(events: DataFrame) -> DataFrame:
     return E.leases(rows)
 
 
+def _manifests(items: DataFrame, created_at: str = "2024-02-29T00:00:00.000Z") -> DataFrame:
+    """import_id and a manifest of each import as JSON; some have another version or a status that isn't true."""
+    name = lambda c: F.regexp_replace(F.md5(c.cast("binary")), r"^(.{8})(.{4}).(.{3}).(.{3})(.{12})$", r"$1-$2-4$3-8$4-$5")
+    one = F.struct("sort_index", "item_id", "media_type", "status", "byte_count")
+    rows = items.groupBy("import_id").agg(F.array_sort(F.collect_list(one)).alias("i"))
+    good = F.size(F.filter("i", lambda x: x["status"] == "copied"))
+    status = F.when(good == F.size("i"), "complete").when(good > 0, "partial").otherwise("failed")
+    item = lambda x, i: F.struct(name(x["item_id"]).alias("id"), i.alias("order"), x["media_type"].alias("mediaType"), x["status"].alias("status"), F.when(x["status"] == "copied", x["byte_count"]).otherwise(0).alias("byteCount"), F.when(x["status"] == "copied", F.concat(name(x["item_id"]), F.lit(".bin"))).alias("relativePath"), F.when(x["status"] == "failed", "IMPORT_COPY_FAILED").alias("errorCode"))
+    made = F.struct(F.when(F.col("import_id") % 5 == 1, 2).otherwise(1).alias("schemaVersion"), name(F.col("import_id").cast("string")).alias("ingestionId"), F.lit(created_at).alias("createdAt"), F.lit("main-app-text").alias("source"), F.when(F.col("import_id") % 5 == 2, "unknown").otherwise(status).alias("status"), F.transform("i", item).alias("items"))
+    return rows.select("import_id", F.to_json(made).alias("value"))
+
+
 @query(
     """SELECT import_id, CASE WHEN import_id % 5 = 1 THEN 'SCHEMA_VERSION_UNSUPPORTED' WHEN import_id % 5 = 2 OR n > 128 OR n > ids THEN 'SCHEMA_INVALID' END AS error_code FROM (SELECT import_id, count(*) AS n, count(DISTINCT item_id) AS ids FROM import_items GROUP BY import_id)""",
     "import_items",
 )
 def manifest_valid(items: DataFrame) -> DataFrame:
-    """A manifest of each import as JSON; some have another version or a status that isn't true."""
-    uuid = lambda c: F.regexp_replace(F.md5(c.cast("binary")), r"^(.{8})(.{4}).(.{3}).(.{3})(.{12})$", r"$1-$2-4$3-8$4-$5")
-    one = F.struct("sort_index", "item_id", "media_type", "status", "byte_count")
-    rows = items.groupBy("import_id").agg(F.array_sort(F.collect_list(one)).alias("i"))
-    good = F.size(F.filter("i", lambda x: x["status"] == "copied"))
-    status = F.when(good == F.size("i"), "complete").when(good > 0, "partial").otherwise("failed")
-    item = lambda x, i: F.struct(uuid(x["item_id"]).alias("id"), i.alias("order"), x["media_type"].alias("mediaType"), x["status"].alias("status"), F.when(x["status"] == "copied", x["byte_count"]).otherwise(0).alias("byteCount"), F.when(x["status"] == "copied", F.concat(uuid(x["item_id"]), F.lit(".bin"))).alias("relativePath"), F.when(x["status"] == "failed", "IMPORT_COPY_FAILED").alias("errorCode"))
-    made = F.struct(F.when(F.col("import_id") % 5 == 1, 2).otherwise(1).alias("schemaVersion"), uuid(F.col("import_id").cast("string")).alias("ingestionId"), F.lit("2024-02-29T00:00:00.000Z").alias("createdAt"), F.lit("main-app-text").alias("source"), F.when(F.col("import_id") % 5 == 2, "unknown").otherwise(status).alias("status"), F.transform("i", item).alias("items"))
-    return rows.select("import_id", decode(F.to_json(made), MANIFEST, valid_manifest)["error_code"].alias("error_code"))
+    return _manifests(items).select("import_id", decode(F.col("value"), MANIFEST, valid_manifest)["error_code"].alias("error_code"))
+
+
+@query(
+    """SELECT regexp_replace(md5(CAST(import_id AS VARCHAR)), '^(.{8})(.{4}).(.{3}).(.{3})(.{12})$', '\\1-\\2-4\\3-8\\4-\\5') AS ingestion_id, CAST(n AS INTEGER) AS items, CAST(CASE WHEN import_id % 7 = 0 THEN 1 ELSE 0 END AS BIGINT) AS conflicts
+       FROM (SELECT import_id, count(*) AS n, count(DISTINCT item_id) AS ids FROM import_items GROUP BY import_id) WHERE import_id % 5 NOT IN (1, 2) AND n <= 128 AND n = ids""",
+    "import_items",
+)
+def import_commits(items: DataFrame) -> DataFrame:
+    """Manifests that a stream commits; some come again as they were, others again with another instant, which is a conflict."""
+    spark = items.sparkSession
+    folder = f"{shared_dir(spark)}/commits-{uuid.uuid4().hex}"
+    fingerprint = F.sha2(F.col("value").cast("binary"), 256).alias("fingerprint")
+    read = lambda inbox: inbox.select(fingerprint, decode(F.col("value"), MANIFEST, valid_manifest).alias("d")).select("fingerprint", "d.value", "d.error_code")
+    again = _manifests(items.filter("import_id % 7 = 0"), "2024-03-01T00:00:00.000Z").unionByName(_manifests(items.filter("import_id % 7 = 1")))
+    for delivered in (_manifests(items), again):
+        _deliver(delivered.select("value"), folder, E.commit_imports(f"{folder}/out"), read)
+    kinds = "ingestion_id string, fingerprint string, items int"
+    told = E.table_at(spark, f"{folder}/out-conflicts", kinds).groupBy(F.col("ingestion_id").alias("c")).agg(F.count("*").alias("conflicts"))
+    return E.table_at(spark, f"{folder}/out", kinds).join(told, F.col("ingestion_id") == F.col("c"), "left").select("ingestion_id", "items", F.coalesce("conflicts", F.lit(0)).cast("long").alias("conflicts"))
 
 
 _ID, _SHA, _AT = "11111111-2222-4333-8444-555555555555", "ab" * 32, "2024-02-29T12:00:00Z"

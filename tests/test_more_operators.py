@@ -100,6 +100,14 @@ def test_routing_is_idempotent(spark, tmp_path):
     assert spark.read.parquet(f"{target}/rejected").count() == 1
 
 
+def test_streams_of_nothing(spark):
+    from quirework.plans import scalars
+
+    assert scalars.event_routing(spark.createDataFrame([], "event_id long, user_id long, event_type string")).collect() == []
+    items = "import_id long, item_id string, sort_index long, media_type string, status string, byte_count long"
+    assert scalars.import_commits(spark.createDataFrame([], items)).collect() == []
+
+
 def test_conflicts_are_kept_once(spark, tmp_path):
     target = f"file://{tmp_path}/table"
     schema = "value struct<ingestionId:string,createdAt:string,items:array<string>>, fingerprint string, error_code string"
