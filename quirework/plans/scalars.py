@@ -466,3 +466,42 @@ def ocr_numbers(vectors: DataFrame) -> DataFrame:
     b = pages.normalized_bounds(at(0) * 400, at(1) * 100, F.lit(10.0), F.lit(20.0), F.lit(100), F.lit(50), flipped=True)
     scale = pages.render_scale((F.col("vec_id") + 1000).cast("double"), F.lit(800.0), F.col("vec_id") % 2 == 0)
     return vectors.select("vec_id", F.round(pages.block_confidence(e), 9).alias("confidence"), pages.low_confidence(e).alias("low"), F.round(b["x"], 9).alias("x"), F.round(b["y"], 9).alias("y"), F.round(scale, 9).alias("scale"))
+
+
+@query(
+    """SELECT vec_id, CASE WHEN vec_id % 7 * 10000000 > 52428800 THEN 'IMAGE_SIZE_LIMIT_EXCEEDED' WHEN w = 0 OR h = 0 THEN 'IMAGE_DECODE_FAILED' WHEN w * h > CASE WHEN vec_id % 2 = 0 THEN 16000000 ELSE 1000000 END THEN 'IMAGE_PIXEL_LIMIT_EXCEEDED' END AS error_code
+       FROM (SELECT vec_id, vec_id % 61 * 100 AS w, vec_id % 53 * 100 AS h FROM embeddings)""",
+    "embeddings",
+)
+def image_limits(vectors: DataFrame) -> DataFrame:
+    """Images of all sizes, every other one of which can't be read by regions."""
+    k = F.col("vec_id")
+    return vectors.select("vec_id", images.image_limits(k % 7 * 10_000_000, k % 61 * 100, k % 53 * 100, k % 2 == 0).alias("error_code"))
+
+
+@query("SELECT doc_id, doc_id % 5 <> 0 AND doc_id % 7 <> 0 AS whole, doc_id % 3 = 0 AS encrypted, CASE WHEN doc_id % 3 = 0 THEN 'chinese' WHEN doc_id % 2 = 0 THEN 'latin' END AS script FROM documents", "documents")
+def pdf_checks(docs: DataFrame) -> DataFrame:
+    """Texts between a head and a trailer as of a PDF, some without one of its ends, and the script that engines are ready for."""
+    k = F.col("doc_id")
+    head, tail = F.when(k % 5 == 0, "").otherwise("%PDF-1.4\n"), F.when(k % 7 == 0, "").otherwise("\n%%EOF\n")
+    trailer = F.concat(F.lit("\ntrailer\n<< /Size 3"), F.when(k % 3 == 0, " /Encrypt 5 0 R").otherwise(""), F.lit(" >>\nstartxref\n9"))
+    content = F.concat(head, F.coalesce("text", F.lit("")), trailer, tail).cast("binary")
+    latin = F.struct((k % 2 == 0).alias("ready"), F.array(F.lit("latin")).alias("scripts"))
+    both = F.struct((k % 3 == 0).alias("ready"), F.array(F.lit("latin"), F.lit("chinese")).alias("scripts"))
+    script = R.script_of(F.struct(F.array(latin, both).alias("engines")))
+    return docs.select("doc_id", pages.pdf_envelope(content).alias("whole"), pages.pdf_encrypted(content).alias("encrypted"), script.alias("script"))
+
+
+@query(
+    """SELECT conv_id AS task_id, CAST(turn AS BIGINT) AS page_index, CASE WHEN turn % 3 = 0 THEN 'failed' ELSE 'complete' END AS status, row_number() OVER w AS done, round(row_number() OVER w / CAST(n AS DOUBLE), 6) AS share
+       FROM (SELECT DISTINCT conv_id, turn, max(turn) OVER (PARTITION BY conv_id) + 3 AS n FROM conversations) WINDOW w AS (PARTITION BY conv_id ORDER BY turn DESC)""",
+    "conversations",
+)
+def page_progress(turns: DataFrame) -> DataFrame:
+    """Turns as pages that end from the last one on; every third ends again, failed."""
+    counts = turns.groupBy(F.col("conv_id").alias("task_id")).agg((F.max("turn") + 3).cast("long").alias("page_count"))
+    index = F.col("turn").cast("long").alias("page_index")
+    ends = turns.select(F.col("conv_id").alias("t"), index, F.lit("complete").alias("status"), (-F.col("turn")).cast("long").alias("seq"))
+    again = turns.filter("turn % 3 = 0").select(F.col("conv_id").alias("t"), index, F.lit("failed").alias("status"), (F.col("turn") + 1_000_000).cast("long").alias("seq"))
+    rows = ends.unionByName(again).join(counts, F.col("t") == F.col("task_id")).drop("t")
+    return pages.task_progress(rows).select("task_id", "page_index", "status", "done", "share")
