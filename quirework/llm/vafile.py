@@ -9,20 +9,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from quirework.llm.common import discard, written
+from quirework.llm.common import discard, keys_of_partitions, written
 
-#: Vectors in a block of candidates, and in a block of queries.
-BLOCK, QUERY_BLOCK = 8_192, 512
-#: Candidates that a task scans for a block of queries before it gives what it found.
-SPAN = 65_536
+#: Vectors in a block of candidates (65,536 at most), and in a block of queries.
+BLOCK, QUERY_BLOCK = 4_096, 1_024
+#: Candidates that a task holds the approximations of, at most.
+SPAN = 2_097_152
 #: Cells that each component is cut into: a cell's number is a byte.
 CELLS = 256
 #: Candidates of a block whose bounds give the first threshold.
 FIRST = 1_024
 #: Exact vectors that a search reads at once, in the order of their bounds.
 STEP = 64
-#: Candidates held for the queries of a task before it gives them away.
+#: Candidates held for a block of queries before a task gives them away.
 MOST_HELD = 4_000_000
+#: Pairs of a query and a candidate that a task scans, while there are no more than so many tasks.
+PAIRS, MOST_TASKS = 50_000_000_000, 256
 
 _LONG = 2**63 - 1
 
@@ -37,6 +39,12 @@ def _unpacked(raw: bytes, rows: int, columns: int) -> np.ndarray:
     return np.frombuffer(raw, "<i2" if len(raw) == 2 * rows * columns else "<f8").reshape(rows, columns)
 
 
+def _runs(keys: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Where each run of one key starts and ends; none for no keys."""
+    edges = np.flatnonzero(np.diff(keys, prepend=-1, append=-1))
+    return zip(edges[:-1], edges[1:], strict=True)
+
+
 # Approximations.
 
 
@@ -80,117 +88,139 @@ def bounds(queries: np.ndarray, cells: np.ndarray, low: np.ndarray, high: np.nda
         return np.nan_to_num(scores - spread, nan=-np.inf), np.nan_to_num(scores + spread, nan=np.inf)
 
 
-class Found:
-    """Of a block of queries: the greatest least scores found so far, and the candidates that may reach them."""
+def _told(scores: np.ndarray) -> np.ndarray:
+    """Bounds of scores as they come out: those beyond a long are all alike."""
+    return scores if scores.dtype == np.float32 else np.clip(scores, np.nextafter(-(2.0**63), 0), 2.0**63)
 
-    def __init__(self, queries: int, k: int, floor: np.ndarray | float = -np.inf):
-        # One more than k, as the query's own row is among the candidates.
-        self.sure, self.floor = np.full((queries, k + 1), -np.inf), floor
-        self.near: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
-        self.held = 0
 
-    @property
-    def threshold(self) -> np.ndarray:
-        return np.maximum(self.sure.min(1), self.floor)
+_KINDS = {"q": np.int32, "least": np.float64, "most": np.float64, "first": np.int64, "block": np.int64, "place": np.int32}
 
-    def add_sure(self, q: np.ndarray, least: np.ndarray) -> None:
-        """Least scores of single candidates, in the order of queries."""
-        starts = np.flatnonzero(np.diff(q, prepend=-1))
-        for a, b in zip(starts, [*starts[1:], len(q)], strict=True):
-            both = np.concatenate([self.sure[q[a]], least[a:b]])
-            self.sure[q[a]] = np.partition(both, len(both) - self.sure.shape[1])[-self.sure.shape[1] :]
 
-    def scan(self, queries: np.ndarray, block: int, cells: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
+class Found:
+    """Of a block of queries: the candidates that may be among the best, and what another must reach to be one."""
+
+    def __init__(self, queries: int, k: int):
+        # One more than k, as the query's own row is among the candidates.
+        self.wanted = k + 1
+        #: The least score and the least id of the last of the wanted so far: who has less, or as much and a greater id, is out.
+        self.threshold, self.id = np.full(queries, -np.inf), np.full(queries, _LONG)
+        self.near = {name: np.empty(0, kind) for name, kind in _KINDS.items()}
+        self.fresh: list[dict[str, np.ndarray]] = []
+        self.held = self.count = 0
+
+    def add(self, **found: np.ndarray) -> None:
+        """Candidates by query, bounds of the score, least id, block and place."""
+        at = self.threshold[found["q"]]
+        stays = (found["most"] > at) | ((found["most"] == at) & (found["first"] <= self.id[found["q"]]))
+        self.fresh.append({name: found[name][stays].astype(kind) for name, kind in _KINDS.items()})
+        self.count += len(self.fresh[-1]["q"])
+        if self.count > max(self.held, self.wanted * len(self.threshold)) // 2:
+            self.thin()
+
+    def thin(self) -> None:
+        """Leave out what the wanted best of each query pass for certain."""
+        near = {name: np.concatenate([self.near[name], *(f[name] for f in self.fresh)]) for name in _KINDS}
+        order = np.lexsort((near["first"], -near["least"], near["q"]))
+        q = near["q"][order]
+        starts = np.flatnonzero(np.diff(q, prepend=-1))
+        last = starts + self.wanted - 1
+        last = order[last[last < np.append(starts[1:], len(q))]]
+        # Candidates that were given away set thresholds that those left may not reach.
+        higher = last[(near["least"][last] > (at := self.threshold[near["q"][last]])) | ((near["least"][last] == at) & (near["first"][last] < self.id[near["q"][last]]))]
+        self.threshold[near["q"][higher]], self.id[near["q"][higher]] = near["least"][higher], near["first"][higher]
+        at = self.threshold[near["q"]]
+        stays = (near["most"] > at) | ((near["most"] == at) & (near["first"] <= self.id[near["q"]]))
+        self.near, self.fresh = {name: c[stays] for name, c in near.items()}, []
+        self.held, self.count = len(self.near["q"]), 0
+
+    def given(self) -> dict[str, np.ndarray]:
+        """The candidates so far, which are no longer held; what must be reached stays."""
+        self.thin()
+        near, self.near, self.held = self.near, {name: c[:0] for name, c in self.near.items()}, 0
+        return near
+
+    def scan(self, queries: np.ndarray, block: int, firsts: np.ndarray, cells: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
         """The candidates of a block whose greatest score reaches the threshold."""
         with np.errstate(all="ignore"):
             # What no vector of the block can pass, whatever its cells.
-            most = np.maximum(queries, 0) @ high.max(1) + np.minimum(queries, 0) @ low.min(1)
+            most = _told(np.maximum(queries, 0) @ high.max(1) + np.minimum(queries, 0) @ low.min(1))
         if (most < self.threshold).all():
             return
-        least, most = bounds(queries, cells, low, high)
+        least, most = (_told(scores) for scores in bounds(queries, cells, low, high))
         first = least[:, :FIRST]
-        if np.isinf(self.threshold).any() and first.shape[1] >= self.sure.shape[1]:
-            sure = np.maximum(self.threshold, np.partition(first, first.shape[1] - self.sure.shape[1], 1)[:, -self.sure.shape[1]])
-        else:
-            sure = self.threshold
-        q, place = np.nonzero(most >= sure[:, None])
-        self.add_sure(q, least[q, place])
-        self.near.append((q.astype(np.int32), np.full(len(q), block, np.int64), place.astype(np.int32), most[q, place].astype(np.float64)))
-        self.held += len(q)
+        sure = self.threshold
+        if np.isinf(sure).any() and first.shape[1] >= self.wanted:
+            sure = np.maximum(sure, np.partition(first, first.shape[1] - self.wanted, 1)[:, -self.wanted])
+        # Numbers of the scores' own kind: where these are float32 they are whole and small.
+        q, place = np.divmod(np.flatnonzero(most >= sure.astype(most.dtype)[:, None]), most.shape[1])
+        self.add(q=q, least=least[q, place], most=most[q, place], first=firsts[place], block=np.full(len(q), block), place=place)
 
-    def candidates(self) -> list[np.ndarray]:
-        """Query, block, place and greatest score of what reaches the threshold now."""
-        if not self.near:
-            return [np.empty(0, k) for k in (np.int32, np.int64, np.int32, np.float64)]
-        whole = [np.concatenate(c) for c in zip(*self.near, strict=True)]
-        return [c[whole[3] >= self.threshold[whole[0]]] for c in whole]
 
-    def thinned(self) -> None:
-        self.near = [tuple(self.candidates())]
-        self.held = len(self.near[0][0])
+def _batch(names: str, values: list) -> pa.RecordBatch:
+    """One row of the columns that are named with their kinds."""
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    columns = [c.split() for c in names.split(", ")]
+    return pa.RecordBatch.from_arrays([pa.array([v], kinds[c[1]]) for v, c in zip(values, columns, strict=True)], [c[0] for c in columns])
 
 
-_NEAR = "q_block long, n_q int, sure binary, q binary, block binary, place binary, most binary"
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        columns = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
+        for i in range(batch.num_rows):
+            yield {name: c[i].as_py() for name, c in columns.items()}
 
 
-def _near_row(q_block: int, found: Found) -> pa.RecordBatch:
-    values = [q_block, len(found.sure), found.sure.tobytes(), *(c.tobytes() for c in found.candidates())]
-    kinds = [pa.int64(), pa.int32(), *[pa.binary()] * 5]
-    return pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(values, kinds, strict=True)], [c.split()[0] for c in _NEAR.split(", ")])
+_MEET = "task int, kind int, number long, dim int, n int, width int, vectors binary, low binary, high binary, firsts binary"
+_NEAR = "q_block long, n_q int, " + ", ".join(f"{name} binary" for name in _KINDS)
 
 
 def _scan(k: int):
-    """Pairs of a block of queries and a block of approximations to the candidates of each block of queries."""
+    """Rows of _MEET, for each task its approximations (kind 0) before its queries: to the candidates of each block of queries."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, tuple[np.ndarray, Found]] = {}
-        for batch in batches:
-            columns = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
-            for i in range(batch.num_rows):
-                r = {name: c[i].as_py() for name, c in columns.items()}
-                if r["q_block"] not in held:
-                    # Pairs come in the order of query blocks; where they don't, more rows say the same.
-                    yield from (_near_row(b, f) for b, (_, f) in held.items())
-                    held = {r["q_block"]: (_unpacked(r["q_vectors"], r["n_q"], r["dim"]).astype(np.float64), Found(r["n_q"], k))}
-                queries, found = held[r["q_block"]]
-                low, high = (_unpacked(r[c], r["dim"], CELLS).astype(np.float64) for c in ("low", "high"))
-                found.scan(queries, r["block"], np.frombuffer(r["cells"], np.uint8).reshape(r["n"], r["dim"]), low, high)
-                if found.held > MOST_HELD:
-                    found.thinned()
+        task, held = None, []
+        for r in _rows(batches):
+            if r["task"] != task:
+                task, held = r["task"], []
+            if r["kind"] == 0:
+                low = _unpacked(r["low"], r["dim"], r["width"])
+                high = _unpacked(r["high"], r["dim"], r["width"]) if r["high"] else low
+                held.append((r["number"], np.frombuffer(r["firsts"], np.int64), np.frombuffer(r["vectors"], np.uint8).reshape(r["n"], r["dim"]), low, high))
+                continue
+            queries, found = _unpacked(r["vectors"], r["n"], r["dim"]).astype(np.float64), Found(r["n"], k)
+            for number, firsts, cells, low, high in held:
+                found.scan(queries, number, firsts, cells, low.astype(np.float64), high.astype(np.float64))
+                if found.held + found.count > MOST_HELD:
+                    found.thin()
                     if found.held > MOST_HELD // 2:
-                        yield _near_row(r["q_block"], found)
-                        # A score is told once, or it would count for two candidates.
-                        held[r["q_block"]] = (queries, Found(r["n_q"], k, found.threshold))
-        yield from (_near_row(b, f) for b, (_, f) in held.items())
+                        yield _batch(_NEAR, [r["number"], r["n"], *(c.tobytes() for c in found.given().values())])
+            yield _batch(_NEAR, [r["number"], r["n"], *(c.tobytes() for c in found.given().values())])
 
     return run
 
 
+_LEFT = "block long, q_block long, q binary, place binary, most binary"
+
+
 def _joined(k: int):
-    """Rows of _scan, in the order of query blocks, to the candidates that are left when all are known: a row a block of exact vectors to read."""
+    """Rows of _NEAR, in the order of query blocks, to the candidates that are left when all are known: a row a block of exact vectors to read."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: tuple[int, Found] | None = None
 
         def out(q_block: int, found: Found) -> Iterator[pa.RecordBatch]:
-            q, block, place, most = found.candidates()
-            order = np.argsort(block, kind="stable")
-            starts = np.flatnonzero(np.diff(block[order], prepend=-1))
-            for a, b in zip(starts, [*starts[1:], len(order)], strict=True):
+            near = found.given()
+            order = np.argsort(near["block"], kind="stable")
+            for a, b in _runs(near["block"][order]):
                 own = order[a:b]
-                values = [q_block, int(block[own[0]]), q[own].tobytes(), place[own].tobytes(), most[own].tobytes()]
-                yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, (pa.int64(), pa.int64(), *[pa.binary()] * 3), strict=True)], ["q_block", "block", "q", "place", "most"])
-
-        for batch in batches:
-            for r in batch.to_pylist():
-                if held is None or held[0] != r["q_block"]:
-                    if held:
-                        yield from out(*held)
-                    held = (r["q_block"], Found(r["n_q"], k))
-                found, sure = held[1], np.frombuffer(r["sure"]).reshape(r["n_q"], k + 1)
-                found.add_sure(np.repeat(np.arange(r["n_q"]), k + 1), sure.ravel())
-                found.near.append(tuple(np.frombuffer(r[c], t) for c, t in zip(("q", "block", "place", "most"), (np.int32, np.int64, np.int32, np.float64), strict=True)))
-                found.thinned()
+                yield _batch(_LEFT, [int(near["block"][own[0]]), q_block, *(near[c][own].tobytes() for c in ("q", "place", "most"))])
+
+        for r in _rows(batches):
+            if held is None or held[0] != r["q_block"]:
+                if held:
+                    yield from out(*held)
+                held = (r["q_block"], Found(r["n_q"], k))
+            held[1].add(**{name: np.frombuffer(r[name], kind) for name, kind in _KINDS.items()})
         if held:
             yield from out(*held)
 
@@ -211,12 +241,12 @@ def exact(query: np.ndarray, vectors: np.ndarray) -> list[int]:
 
 
 def _best(query: np.ndarray, vectors: np.ndarray, ids: list[np.ndarray], most: np.ndarray, own: int, k: int) -> list[tuple[int, int]]:
-    """The k best (score, id) of candidates, read in the order of their bounds until the rest can't reach the kth; a row of own is left out."""
+    """The k best (score, id) of candidates, their scores as longs, read in the order of their bounds until the rest can't reach the kth; a row of own is left out."""
     order, scores, at = np.argsort(-most, kind="stable"), [], 0
     while at < len(order):
         if at > k and sorted(scores, reverse=True)[k] > most[order[at]]:
             break
-        scores += exact(query, vectors[order[at : at + STEP]])
+        scores += [max(-_LONG, min(_LONG, score)) for score in exact(query, vectors[order[at : at + STEP]])]
         at += STEP
     rows, gone = [], False
     for i, score in zip(order, scores, strict=False):
@@ -228,36 +258,66 @@ def _best(query: np.ndarray, vectors: np.ndarray, ids: list[np.ndarray], most: n
     return sorted(rows, key=lambda r: (-r[0], r[1]))[:k]
 
 
-def _read(k: int):
+_READ = "block long, kind int, q_block long, dim int, n int, vectors binary, ids binary, counts binary, q binary, place binary, most binary"
+_PICKED = "q_block long, kind int, dim int, n int, vectors binary, ids binary, counts binary, q binary, place binary, most binary"
+
+
+def _pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of _READ, each block's exact vectors (kind 0) before what is asked of it: to the vectors that are asked, once a block of queries."""
+    for r in _rows(batches):
+        if r["kind"] == 0:
+            dim, vectors = r["dim"], _unpacked(r["vectors"], r["n"], r["dim"])
+            flat, counts = np.frombuffer(r["ids"], np.int64), np.frombuffer(r["counts"], np.int32)
+            ends = np.cumsum(counts)
+            continue
+        own, place = np.unique(np.frombuffer(r["place"], np.int32), return_inverse=True)
+        ids = np.concatenate([flat[ends[p] - counts[p] : ends[p]] for p in own])
+        yield _batch(_PICKED, [r["q_block"], 1, dim, len(own), _packed(vectors[own]), ids.tobytes(), counts[own].tobytes(), r["q"], place.astype(np.int32).tobytes(), r["most"]])
+
+
+def _ranked(k: int):
+    """Rows of _PICKED, each block's queries (kind 0) before the vectors picked for it: to the best of each query."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            columns = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
-            for i in range(batch.num_rows):
-                r = {name: c[i].as_py() for name, c in columns.items()}
-                counts, flat = np.frombuffer(r["counts"], np.int32), np.frombuffer(r["ids"], np.int64)
-                ends = np.cumsum(counts)
-                vectors, queries = _unpacked(r["vectors"], r["n"], r["dim"]), _unpacked(r["q_vectors"], r["n_q"], r["dim"])
-                q_ids = np.frombuffer(r["q_ids"], np.int64)
-                q, place, most = (np.frombuffer(r[c], t) for c, t in (("q", np.int32), ("place", np.int32), ("most", np.float64)))
-                out: list[tuple[int, int, int, int, int]] = []
-                order = np.argsort(q, kind="stable")
-                starts = np.flatnonzero(np.diff(q[order], prepend=-1))
-                for a, b in zip(starts, [*starts[1:], len(order)], strict=True):
-                    mine = order[a:b]
-                    at, own = int(q[mine[0]]), place[mine]
-                    ids = [flat[ends[p] - counts[p] : ends[p]] for p in own]
-                    for score, vec_id in _best(queries[at].astype(np.float64), vectors[own].astype(np.float64), ids, most[mine], int(q_ids[at]), k):
-                        out.append((int(q_ids[at]), r["q_block"], at, vec_id, max(-_LONG, min(_LONG, score))))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["query_id", "q_block", "q_place", "vec_id", "score"])
+        asked, picked = None, []
+
+        def out() -> Iterator[pa.RecordBatch]:
+            if not picked:
+                return
+            queries, q_ids = _unpacked(asked["vectors"], asked["n"], asked["dim"]), np.frombuffer(asked["ids"], np.int64)
+            vectors = np.concatenate([_unpacked(r["vectors"], r["n"], r["dim"]) for r in picked])
+            flat = np.concatenate([np.frombuffer(r["ids"], np.int64) for r in picked])
+            counts = np.concatenate([np.frombuffer(r["counts"], np.int32) for r in picked])
+            ends = np.cumsum(counts)
+            q, most = (np.concatenate([np.frombuffer(r[c], t) for r in picked]) for c, t in (("q", np.int32), ("most", np.float64)))
+            before = np.cumsum([0, *(r["n"] for r in picked)])
+            place = np.concatenate([np.frombuffer(r["place"], np.int32) + b for r, b in zip(picked, before, strict=False)])
+            order, rows = np.argsort(q, kind="stable"), []
+            for a, b in _runs(q[order]):
+                mine = order[a:b]
+                at, own = int(q[mine[0]]), place[mine]
+                ids = [flat[ends[p] - counts[p] : ends[p]] for p in own]
+                best = _best(queries[at].astype(np.float64), vectors[own].astype(np.float64), ids, most[mine], int(q_ids[at]), k)
+                rows += [(int(q_ids[at]), rank, vec_id, score) for rank, (score, vec_id) in enumerate(best, 1)]
+            if rows:
+                columns = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int32(), pa.int64(), pa.int64()), strict=True)], ["query_id", "rank", "vec_id", "score"])
+
+        for r in _rows(batches):
+            if r["kind"] == 0:
+                yield from out()
+                asked, picked = r, []
+            else:
+                picked.append(r)
+        yield from out()
 
     return run
 
 
 # Blocks.
 
-_CANDIDATES = "block long, dim int, n int, cells binary, low binary, high binary, vectors binary, ids binary, counts binary"
-_QUERIES = "q_block long, dim int, n_q int, q_vectors binary, q_ids binary"
+_CANDIDATES = "block long, dim int, n int, width int, cells binary, low binary, high binary, firsts binary, vectors binary, ids binary, counts binary"
+_QUERIES = "q_block long, dim int, n int, vectors binary, ids binary"
 
 
 def _blocks(size: int, approximate: bool):
@@ -278,12 +338,14 @@ def _blocks(size: int, approximate: bool):
             values = [(part << 32) + count, dim, len(ids)]
             if approximate:
                 cells, low, high = approximated(vectors)
-                values += [cells.tobytes(), _packed(low), _packed(high), _packed(vectors), flat, np.array([len(own) for own in ids], np.int32).tobytes()]
+                # The limits of the cells that have vectors, once where each has one value.
+                width = int(cells.max()) + 1
+                low, high = low[:, :width], high[:, :width]
+                firsts = np.array([own[0] for own in ids], np.int64).tobytes()
+                values += [width, cells.tobytes(), _packed(low), b"" if (low == high).all() else _packed(high), firsts, _packed(vectors), flat, np.array([len(own) for own in ids], np.int32).tobytes()]
             else:
                 values += [_packed(vectors), flat]
-            kinds = [pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * (len(values) - 3)]
-            names = [c.split()[0] for c in (_CANDIDATES if approximate else _QUERIES).split(", ")]
-            return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, kinds, strict=True)], names)
+            return _batch(_CANDIDATES if approximate else _QUERIES, values)
 
         for batch in batches:
             for own, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -298,6 +360,13 @@ def _blocks(size: int, approximate: bool):
     return run
 
 
+def _dealt(n: int, blocks: int, n_q: int, q_blocks: int, tasks: int) -> tuple[int, int]:
+    """Spans of candidates and groups of query blocks. A group more costs each candidate's cells once more, a span more costs each query and its best."""
+    tasks = max(tasks, min(MOST_TASKS, n * n_q // PAIRS))
+    spans = max(-(-n // SPAN), min(blocks, round((2.5 * tasks) ** 0.5)))
+    return spans, min(q_blocks, -(-tasks // spans))
+
+
 def top_k(vectors: DataFrame, k: int = 20, step: int = 20, scale: float = 64.0) -> DataFrame:
     """The k rows of highest inner product for each row whose vec_id is divisible by step, exactly.
 
@@ -309,10 +378,12 @@ def top_k(vectors: DataFrame, k: int = 20, step: int = 20, scale: float = 64.0)
 
     Equal vectors are one candidate with their k + 1 least ids, so a vector that many rows hold costs no more than
     another. Candidates are written once as blocks: a byte a component, the limits of its cell, and apart from them the
-    exact vectors. Each block of queries meets the approximations of all blocks, in spans of bounded size, and gives the
-    greatest least scores and the candidates that may reach them; when the spans are put together, the kth of those
-    scores is a bound over the whole table. Exact vectors are read for the candidates that reach it, in the order of
-    their bounds until the kth score is certain: about k a query come out, whatever the number of blocks.
+    exact vectors. A task holds the approximations of a span of candidates and scans them for one block of queries after
+    another: what is dealt out are spans and blocks of queries, not their pairs. It gives the candidates that may be
+    among the best k + 1, by bounds and least ids; when the spans are put together, the kth least score is a bound over
+    the whole table. Exact vectors are picked for the candidates that reach it, and read in the order of their bounds
+    until the kth score is certain: about k a query come out, whatever the number of blocks. Work grows with the square
+    of the table's rows; what is written and shuffled grows with the rows.
     Returns query_id, rank (from 1), vec_id, score.
     """
     spark = vectors.sparkSession
@@ -330,31 +401,36 @@ def top_k(vectors: DataFrame, k: int = 20, step: int = 20, scale: float = 64.0)
     asked = asked.select(F.array("vec_id").alias("ids"), v).repartition(max(1, -(-asked.count() // QUERY_BLOCK)))
     queries = written(asked.mapInArrow(_blocks(QUERY_BLOCK, False), _QUERIES), "va-queries")
 
-    # Spans of candidates and groups of query blocks meet each other: a row a dimension says how many there are.
-    sizes = {r["dim"]: r["n"] for r in blocks.groupBy("dim").agg(F.sum("n").alias("n")).collect()}
-    wanted = {r["dim"]: r["n"] for r in queries.groupBy("dim").agg(F.count("*").alias("n")).collect()}
-    spans = {dim: -(-n // SPAN) for dim, n in sizes.items()}
-    tasks = 4 * spark.sparkContext.defaultParallelism
-    meets = [(dim, spans[dim], min(n, max(1, -(-tasks // spans[dim])))) for dim, n in wanted.items()]
+    # Spans of candidates and groups of query blocks meet each other: a task each.
+    sizes = {r["dim"]: (r["n"], r["blocks"]) for r in blocks.groupBy("dim").agg(F.sum("n").alias("n"), F.count("*").alias("blocks")).collect()}
+    wanted = {r["dim"]: (r["n"], r["blocks"]) for r in queries.groupBy("dim").agg(F.sum("n").alias("n"), F.count("*").alias("blocks")).collect()}
+    meets = [(dim, span, part) for dim in wanted for spans, parts in [_dealt(*sizes[dim], *wanted[dim], 4 * spark.sparkContext.defaultParallelism)] for span in range(spans) for part in range(parts)]
     if not meets:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    plan = F.broadcast(spark.createDataFrame(meets, "m_dim int, spans int, groups int"))
-    parts = max(1, min(20_000, sum(s * g for _, s, g in meets)))
-    key = ["dim", "span", "part"]
-    cells = blocks.select("block", "dim", "n", "cells", "low", "high").join(plan, F.col("dim") == F.col("m_dim"))
-    cells = cells.withColumn("span", F.pmod(F.xxhash64("block"), "spans")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
-    cells = cells.drop("m_dim", "spans", "groups").repartition(parts, *key)
-    own = queries.drop("q_ids").join(plan, F.col("dim") == F.col("m_dim"))
-    own = own.withColumn("part", F.pmod(F.xxhash64("q_block"), "groups").cast("int")).withColumn("span", F.explode(F.sequence(F.lit(0).cast("long"), F.col("spans").cast("long") - 1)))
-    own = own.drop("m_dim", "spans", "groups").repartition(parts, *key)
-    near = own.join(cells.hint("merge"), key).drop("span", "part").mapInArrow(_scan(k), _NEAR)
-
-    left = near.repartition("q_block").sortWithinPartitions("q_block").mapInArrow(_joined(k), "q_block long, block long, q binary, place binary, most binary")
+    tasks = min(len(meets), 20_000)
+    keys = keys_of_partitions(tasks)
+    whole = spark.createDataFrame([(*m, i, keys[i % tasks]) for i, m in enumerate(meets)], "m_dim int, m_span int, m_part int, task int, key int")
+    counts = whole.groupBy("m_dim").agg((F.max("m_span") + 1).alias("spans"), (F.max("m_part") + 1).alias("parts"))
+
+    def dealt(table: DataFrame, number: str, count: str, place: str) -> DataFrame:
+        own = table.join(F.broadcast(counts.withColumnRenamed("m_dim", "c_dim")), F.col("dim") == F.col("c_dim")).withColumn("own", F.pmod(F.xxhash64(number), count))
+        return own.join(F.broadcast(whole), (F.col("dim") == F.col("m_dim")) & (F.col("own") == F.col(place)))
+
+    none = F.lit(None).cast("binary")
+    cells = dealt(blocks, "block", "spans", "m_span").select("key", "task", F.lit(0).alias("kind"), F.col("block").alias("number"), "dim", "n", "width", F.col("cells").alias("vectors"), "low", "high", "firsts")
+    own = dealt(queries, "q_block", "parts", "m_part").select("key", "task", F.lit(1).alias("kind"), F.col("q_block").alias("number"), "dim", "n", F.lit(0).alias("width"), "vectors", none.alias("low"), none.alias("high"), none.alias("firsts"))
+    meet = cells.unionByName(own).repartition(tasks, "key").sortWithinPartitions("task", "kind")
+    near = meet.drop("key").mapInArrow(_scan(k), _NEAR)
+
+    left = near.repartition("q_block").sortWithinPartitions("q_block").mapInArrow(_joined(k), _LEFT)
     left = written(left, "va-candidates")
-    held = blocks.select("block", "n", "vectors", "ids", "counts")
-    found = left.join(held, "block").join(queries, "q_block").mapInArrow(_read(k), "query_id long, q_block long, q_place long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id", "q_block", "q_place").orderBy(F.desc("score"), "vec_id"))
-    out = written(found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score"), "va-found")
+    columns = [c.split()[0] for c in _READ.split(", ")]
+    held = blocks.select("block", "dim", "n", "vectors", "ids", "counts").withColumn("kind", F.lit(0)).unionByName(left.withColumn("kind", F.lit(1)), allowMissingColumns=True)
+    picked = held.select(columns).repartition("block").sortWithinPartitions("block", "kind").mapInArrow(_pick, _PICKED)
+    columns = [c.split()[0] for c in _PICKED.split(", ")]
+    found = queries.withColumn("kind", F.lit(0)).unionByName(picked, allowMissingColumns=True).select(columns)
+    found = found.repartition("q_block").sortWithinPartitions("q_block", "kind")
+    out = written(found.mapInArrow(_ranked(k), "query_id long, rank int, vec_id long, score long"), "va-found")
     for table in (blocks, queries, left):
         discard(table)
     return out

@@ -556,6 +556,53 @@ def test_top_k_is_brute_force(spark, monkeypatch, sizes):
     assert vafile.top_k(table.limit(0)).collect() == []
 
 
+def shuffled(spark):
+    jvm = spark.sparkContext._jvm
+    store = spark.sparkContext._jsc.sc().statusStore()
+    stages = store.stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return {(s.stageId(), s.attemptId()): s.shuffleWriteBytes() for s in (stages.apply(i) for i in range(stages.size()))}
+
+
+def test_top_k_shuffles_vectors_not_pairs_of_blocks(spark, monkeypatch):
+    monkeypatch.setattr(vafile, "BLOCK", 64)
+    monkeypatch.setattr(vafile, "QUERY_BLOCK", 16)
+    rng, took = np.random.default_rng(8), []
+    for n in (2_000, 8_000):
+        table = spark.createDataFrame([(i, v) for i, v in enumerate(rng.normal(0, 0.2, (n, 16)).tolist())], "vec_id long, embedding array<double>")
+        before = shuffled(spark)
+        assert vafile.top_k(table).count() == n
+        took.append(sum(b for key, b in shuffled(spark).items() if key not in before))
+    # Four times the vectors make sixteen times the pairs of a block of queries and a block of vectors.
+    assert took[1] < 6 * took[0]
+
+
+@pytest.mark.parametrize("sizes", [None, (16, 4, 32, 20)])
+def test_top_k_of_equal_scores_is_by_id(spark, monkeypatch, sizes):
+    if sizes:
+        for name, n in zip(("BLOCK", "QUERY_BLOCK", "SPAN", "MOST_HELD"), sizes, strict=True):
+            monkeypatch.setattr(vafile, name, n)
+    rng = np.random.default_rng(3)
+    rows = [(i, v) for i, v in enumerate(rng.normal(0, 0.2, (300, 8)).tolist())]
+    # A query that all score alike for, and scores beyond a long, all of which come out as one.
+    rows += [(1000, [0.0] * 8)] + [(2000 + i, [2.0 ** (40 - i), 1.0, 1.0]) for i in range(45)] + [(3000 + i, [-(2.0 ** (30 + i)), 0.0, 0.0]) for i in range(9)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    for k in (3, 20):
+        got = Counter(tuple(r) for r in vafile.top_k(table, k).select("query_id", "rank", "vec_id", "score").collect())
+        assert got == top_k_brute(rows, k)
+
+
+def test_found_takes_a_block_that_no_query_wants():
+    found, vectors = vafile.Found(2, 1), np.array([[5.0, 0.0], [6.0, 0.0], [0.0, 1.0]])
+    queries = np.array([[1.0, 0.0], [2.0, 0.0]])
+    found.scan(queries, 7, np.arange(3), *vafile.approximated(vectors))
+    # By what no vector of the block can pass it may hold one, by its cells it doesn't.
+    found.scan(queries, 8, np.arange(3, 6), *vafile.approximated(np.array([[4.0, 1.0], [3.0, 9.0], [1.0, 1.0]])))
+    found.scan(np.array([[1.0, 1.0], [1.0, 1.0]]), 9, np.arange(6, 8), *vafile.approximated(np.array([[4.0, 0.0], [0.0, 4.0]])))
+    near = found.given()
+    assert sorted(zip(near["q"].tolist(), near["block"].tolist(), near["place"].tolist(), strict=True)) == [(0, 7, 0), (0, 7, 1), (1, 7, 0), (1, 7, 1)]
+    assert not any(map(len, found.given().values())) and list(vafile._runs(np.empty(0, np.int64))) == []
+
+
 def test_bounds_hold_the_scores():
     rng = np.random.default_rng(9)
     for vectors in (rng.integers(-30, 30, (900, 8)), rng.integers(-(10**6), 10**6, (900, 8)), np.round(rng.standard_cauchy((900, 8)) * 10**9), np.round(rng.normal(0, 1e20, (900, 8)))):
